@@ -90,8 +90,9 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings as text: date, time and seven values, ``?`` where a value is missing."""
     frame = meter(spark, sf_dir)
 
+    # six decimals: the readings end earlier or never, so no value lies halfway
     def text(name: str):
-        exact = F.col(name).cast(T.DecimalType(18, 2)).cast("string")
+        exact = F.col(name).cast(T.DecimalType(18, 6)).cast("string")
         return F.coalesce(exact, F.lit("?")).alias(name)
 
     return frame.select(
@@ -107,7 +108,7 @@ SELECT strftime(obs_ts, '%-d/%-m/%Y') AS Date, strftime(obs_ts, '%-H:%-M:%-S') A
 FROM meter
 """.format(
     cells=",\n".join(
-        f" COALESCE(CAST(CAST({c} AS DECIMAL(18,2)) AS VARCHAR), '?') AS {c}" for c in METER_COLUMNS
+        f" COALESCE(CAST(CAST({c} AS DECIMAL(18,6)) AS VARCHAR), '?') AS {c}" for c in METER_COLUMNS
     )
 )
 
