@@ -48,6 +48,21 @@ SELECT event_type AS task_name, CONCAT('model_', CAST(user_id % 4 AS VARCHAR(4))
 FROM events GROUP BY event_type, user_id % 4
 """
 
+RUNS = """
+SELECT event_type AS task_name, CONCAT('exp_', CAST(CAST(ts AS DATE) AS VARCHAR(10))) AS experiment_id,
+ MAX(CAST(ts AS TIMESTAMP)) AS timestamp_max, CONCAT('model_', CAST(user_id % 4 AS VARCHAR(4))) AS model_name,
+ ROUND(MAX(value),6) AS rmse, ROUND(MIN(value),6) AS mae, ROUND(1e0/(MAX(value)+1e0),6) AS r2,
+ COUNT(*)/100e0 AS training_time, COUNT(DISTINCT user_id)/100e0 AS prediction_time,
+ CAST(MAX(user_id) AS DOUBLE) AS memory_usage_mb, 1e0*MIN(user_id % 4) AS cpu_usage_pct
+FROM events GROUP BY event_type, CAST(ts AS DATE), user_id % 4
+"""
+
+FAILED = """
+SELECT event_type AS task_name, CONCAT('model_failed_', CAST(user_id % 2 AS VARCHAR(4))) AS model_name,
+ CONCAT('no result in ', CAST(COUNT(*) AS VARCHAR(20)), ' rows') AS error
+FROM events GROUP BY event_type, user_id % 2
+"""
+
 SHIPMENTS = """
 SELECT CAST(l_shipdate AS TIMESTAMP) AS obs_ts, l_quantity AS Global_active_power,
  l_discount AS Global_reactive_power
@@ -81,6 +96,16 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, CAND, "events")
 
 
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of one experiment per task and day."""
+    return _view(spark, sf_dir, RUNS, "events").withColumnRenamed("timestamp_max", "timestamp")
+
+
+def failed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that failed, with their error."""
+    return _view(spark, sf_dir, FAILED, "events")
+
+
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-year dates with a quantity standing for power."""
     return _view(spark, sf_dir, SHIPMENTS, "lineitem")
@@ -112,7 +137,7 @@ FROM meter
     )
 )
 
-CTE = {"meter": METER, "pred": PRED, "cand": CAND, "ship": SHIPMENTS}
+CTE = {"meter": METER, "pred": PRED, "cand": CAND, "ship": SHIPMENTS, "runs": RUNS, "failed": FAILED}
 
 
 def with_views(sql: str, *views: str) -> str:
