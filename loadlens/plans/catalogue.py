@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from loadlens.plans import energy_queries, ranking_queries, series_queries, table_queries  # noqa: F401
+from loadlens.plans import (  # noqa: F401
+    energy_queries,
+    evaluation_queries,
+    ranking_queries,
+    series_queries,
+    table_queries,
+)
 from loadlens.plans.registry import ORACLES, QUERIES, Query
 
 
