@@ -88,22 +88,22 @@ def _chunk_of(rows: int, rn: str = RN) -> Column:
 
 
 def row_frames(
-    ordered: OrderedRows,
-    build: Callable[[WindowSpec], dict[str, Column]],
-    reach: int,
-    before: dict[str, Column] | None = None,
+    ordered: OrderedRows, build: Callable[[WindowSpec], dict[str, Column]], reach: int
 ) -> OrderedRows:
     """Add the columns ``build`` makes from a window ordered by position.
 
-    Frames may look back ``reach`` rows at the most. ``before`` columns are
-    computed ahead of the window, in the same stage.
+    Frames may look back ``reach`` rows at the most.
     """
     rows = ordered.chunk_rows(reach)
     chunk = _chunk_of(rows)
     in_halo = F.col(RN) % rows >= rows - reach
-    spread = ordered.df.withColumns(before or {}).withColumn(
+    spread = ordered.df.withColumn(
         _CHUNK, F.explode(F.when(in_halo, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))
     )
+    # frames cost far more time than their rows have bytes: keep every shuffle
+    # partition as a task of its own instead of letting small ones be merged
+    parts = int(ordered.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spread.repartition(parts, *ordered.series, _CHUNK)
     window = Window.partitionBy(*ordered.series, _CHUNK).orderBy(RN)
     built = spread.withColumns(build(window))
     return ordered.with_df(built.where(F.col(_CHUNK) == chunk).drop(_CHUNK))
@@ -172,18 +172,6 @@ def running_total(ordered: OrderedRows, totals: dict[str, Column]) -> OrderedRow
     return ordered.with_df(summed.drop(_CHUNK, *names.values()))
 
 
-def running_min_before(ordered: OrderedRows, value: str, name: str) -> OrderedRows:
-    """Add the smallest ``value`` of all earlier rows of the series (null on the first)."""
-    rows = ordered.chunk_rows()
-    ends = _chunk_ends(ordered, rows, [F.min(value).alias("__min")])
-    carried = _carried(ends, ordered.series, {"__min": F.min("__min")})
-    window = Window.partitionBy(*ordered.series, _CHUNK).orderBy(RN).rowsBetween(Window.unboundedPreceding, -1)
-    joined = _join_carried(ordered.df.withColumn(_CHUNK, _chunk_of(rows)), carried, ordered.series)
-    # least() skips nulls
-    made = joined.withColumn(name, F.least(F.min(value).over(window), F.col("__min")))
-    return ordered.with_df(made.drop(_CHUNK, "__min"))
-
-
 def series_position(ordered: OrderedRows, name: str = "row_in_series") -> OrderedRows:
     """Add the zero-based position of each row within its series."""
     if not ordered.series:
