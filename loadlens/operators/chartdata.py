@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loadlens.functions.formatting import NOT_AVAILABLE, number_text, selected_mark, yes_no
 from loadlens.operators.ordered import order_rows, series_position
 from loadlens.operators.ranking import METRICS
+from loadlens.sources.shared import stage
 
 # Fixed values
 HISTOGRAM_BINS = 60
@@ -35,9 +36,13 @@ def _residual(actual: str, predicted: str) -> Column:
     return F.col(actual) - F.col(predicted)
 
 
-def _join_series(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Summaries have one row per series; the optimizer picks the join from their size."""
-    return rows.join(summary, list(keys))
+def _summary(df: DataFrame) -> DataFrame:
+    """A table with one row per series, staged: its size is known when a join is planned.
+
+    A small one is broadcast and the rows are not shuffled by series, where one series
+    may hold most of them; a large one is joined by sorting, with skewed parts split.
+    """
+    return stage(df, "summary")
 
 
 def residual_series(
@@ -57,8 +62,8 @@ def display_sample(
     positioned: DataFrame, *, keys: Sequence[str] = SERIES, step: str = "step", points: int = DISPLAY_POINTS
 ) -> DataFrame:
     """At most ``points`` evenly spaced rows of each series, first and last included."""
-    counted = positioned.groupBy(*keys).agg(F.count("*").alias("__n"))
-    rows = _join_series(positioned, counted, keys)
+    counted = _summary(positioned.groupBy(*keys).agg(F.count("*").alias("__n")))
+    rows = positioned.join(counted, list(keys))
     width = (F.col("__n") - 1) / F.lit(points - 1)
     near = F.rint(F.col(step) / width)
     hit = F.lit(False)
@@ -80,15 +85,18 @@ def residual_histogram(
     residuals = predictions.select(*keys, _residual(actual, predicted).alias("x"))
     found = residuals.groupBy(*keys).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n"))
     flat = F.col("low") == F.col("high")
-    ranges = found.select(
-        *keys,
-        "n",
-        F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
-        F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
+    ranges = _summary(
+        found.select(
+            *keys,
+            "n",
+            F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
+            F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
+        )
     )
     place = F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins)
     counts = (
-        _join_series(residuals.where(F.col("x").isNotNull()), ranges, keys)
+        residuals.where(F.col("x").isNotNull())
+        .join(ranges, list(keys))
         .select(*keys, F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
         .groupBy(*keys, "bin")
         .agg(F.count("*").alias("count"))
@@ -123,15 +131,17 @@ def residual_kde(
         F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n"), F.stddev_samp("x").alias("sd")
     )
     # a series of one value has no density
-    grids = found.where(F.col("sd") > 0).select(
-        *keys,
-        "low",
-        "n",
-        (F.pow(F.col("n"), F.lit(-0.2)) * F.col("sd")).alias("h"),
-        ((F.col("high") - F.col("low")) / (points - 1)).alias("gap"),
+    grids = _summary(
+        found.where(F.col("sd") > 0).select(
+            *keys,
+            "low",
+            "n",
+            (F.pow(F.col("n"), F.lit(-0.2)) * F.col("sd")).alias("h"),
+            ((F.col("high") - F.col("low")) / (points - 1)).alias("gap"),
+        )
     )
     counted = residuals.groupBy(*keys, "x").agg(F.count("*").alias("c"))
-    rows = _join_series(counted, grids, keys)
+    rows = counted.join(grids, list(keys))
     middle, reach = (F.col("x") - F.col("low")) / F.col("gap"), F.col("h") * _KERNEL_REACH / F.col("gap")
     first = F.greatest(F.floor(middle - reach), F.lit(0))
     last = F.least(F.ceil(middle + reach), F.lit(points - 1))

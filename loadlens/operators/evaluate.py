@@ -73,7 +73,8 @@ def paired_errors(
     if isinstance(baseline, str):
         tagged = predictions.withColumn("baseline_model", F.lit(baseline))
     else:
-        chosen = baseline.select("Task", F.col("Model").alias("baseline_model"))
+        # one row per task, staged: small, it is broadcast and the predictions are not shuffled by task
+        chosen = stage(baseline.select("Task", F.col("Model").alias("baseline_model")), "baseline")
         tagged = predictions.join(chosen, "Task")
     is_base = F.col("Model") == F.col("baseline_model")
     base = tagged.where(is_base).select(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.operators.ordered import RN, OrderedRows, series_position
+from loadlens.sources.shared import stage
 
 # Feature columns per task, in order
 TIME_FEATURES = [
@@ -116,9 +117,12 @@ def mark_split(ordered: OrderedRows, test_ratio: float = TEST_RATIO) -> DataFram
         is_train = F.col(RN) < train_rows(ordered.total, test_ratio)
         return ordered.df.withColumn("split", F.when(is_train, "train").otherwise("test"))
     placed = series_position(ordered, "__row").df
-    # one row per series; how it is joined is left to the optimizer, which knows the size
-    sizes = ordered.df.groupBy(*[F.col(s).alias(f"__of_{s}") for s in ordered.series]).agg(
-        F.floor(F.round(F.count("*") * (1 - test_ratio), 9)).alias("__train_rows")
+    # one row per series, staged: the join is planned from its size, by broadcast if it is small
+    sizes = stage(
+        ordered.df.groupBy(*[F.col(s).alias(f"__of_{s}") for s in ordered.series]).agg(
+            F.floor(F.round(F.count("*") * (1 - test_ratio), 9)).alias("__train_rows")
+        ),
+        "sizes",
     )
     same = [F.col(s).eqNullSafe(F.col(f"__of_{s}")) for s in ordered.series]
     joined = placed.join(sizes, same)

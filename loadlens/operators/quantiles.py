@@ -39,15 +39,24 @@ class _Target:
 
 def _narrow(df: DataFrame, targets: list[_Target]) -> None:
     """One sketch pass and one counting pass for all open targets."""
-    bounds = []
+    # targets that still share their interval share one sketch
+    sketches: dict[tuple, list[float]] = {}
     for t in targets:
         at = (t.rank - t.below) / max(t.inside - 1, 1)
-        probs = [max(0.0, at - 3 / _ACCURACY), min(1.0, at + 3 / _ACCURACY)]
-        bounds.append(F.percentile_approx(F.when(t.within(), F.col(t.column)), probs, _ACCURACY))
-    brackets = df.agg(*[b.alias(f"b{i}") for i, b in enumerate(bounds)]).first()
+        probs = sketches.setdefault((t.column, t.low, t.high), [])
+        probs += [max(0.0, at - 3 / _ACCURACY), min(1.0, at + 3 / _ACCURACY)]
+    found = {}
+    for t in targets:
+        key = (t.column, t.low, t.high)
+        if key not in found:
+            value = F.when(t.within(), F.col(t.column))
+            found[key] = F.percentile_approx(value, sketches[key], _ACCURACY).alias(f"s{len(found)}")
+    row = df.agg(*found.values()).first()
+    edges = {key: iter(values) for key, values in zip(found, row, strict=True)}
+    brackets = [(next(edges[k]), next(edges[k])) for k in ((t.column, t.low, t.high) for t in targets)]
     counts = []
     for i, t in enumerate(targets):
-        low, high = brackets[f"b{i}"]
+        low, high = brackets[i]
         col, here = F.col(t.column), t.within()
         counts += [
             F.count_if(here & (col < low)).alias(f"less{i}"),
@@ -57,7 +66,7 @@ def _narrow(df: DataFrame, targets: list[_Target]) -> None:
         ]
     seen = df.agg(*counts).first()
     for i, t in enumerate(targets):
-        low, high = brackets[f"b{i}"]
+        low, high = brackets[i]
         k = t.rank - t.below
         less, at_low, between = seen[f"less{i}"], seen[f"low{i}"], seen[f"open{i}"]
         at_high = seen[f"high{i}"] if high > low else 0

@@ -27,9 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/loadlens/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/loadlens/{label}-{uuid4().hex}"
+    """A new path below this application's part of the shared folder."""
+    return f"{_run_dir(spark)}/{label}-{uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -38,3 +42,9 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> bool:
+    """Delete all staged tables of this application, once their results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -32,9 +32,13 @@ def load_features(spark: SparkSession, base: str, version: str = VERSION) -> Dat
 
 
 def save_predictions(df: DataFrame, base: str, version: str = VERSION, *, overwrite: bool = False) -> str:
-    """Write predictions partitioned by task and model below their version."""
+    """Write predictions partitioned by task and model below their version.
+
+    Rows are rebalanced by partition first, so that each folder gets few files and a
+    large one is still written by many tasks.
+    """
     path = f"{base}/version={version}"
-    df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("Task", "Model").parquet(path)
+    df.hint("rebalance", "Task", "Model").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("Task", "Model").parquet(path)
     return path
 
 
