@@ -64,6 +64,48 @@ def _predicted(spark, sf_dir, name):
     return ml.score(model, data.test, data.task.name, name, "obs_ts")
 
 
+ONE_FEATURE = prep.Task("intensity", "Global_intensity", ("Voltage",))
+ONE_FEATURE_SQL = f"""{CLEAN_METER}, numbered AS (SELECT Voltage AS x, Global_intensity AS y, obs_ts, event_id,
+ ROW_NUMBER() OVER (ORDER BY obs_ts, event_id) - 1 AS rn, COUNT(*) OVER () AS n FROM readings)"""
+
+
+def one_feature_data(spark, sf_dir):
+    rows = clean_meter(spark, sf_dir).select(*KEYS, "Voltage", "Global_intensity")
+    return ml.prepare_task(order_rows(rows, ORDER), ONE_FEATURE, ts="obs_ts", keep=["event_id"])
+
+
+@query(
+    "ml_linreg_holdout",
+    f"""WITH {ONE_FEATURE_SQL}, fit AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM numbered
+ WHERE rn < FLOOR(n*0.8))
+SELECT obs_ts AS Timestamp, 'intensity' AS Task, 'linear_regression' AS Model, y AS Actual,
+ ROUND(a + b*x, 6) AS Predicted FROM numbered CROSS JOIN fit WHERE rn >= FLOOR(n*0.8)""",
+    ("meter",),
+)
+def ml_linreg_holdout(spark, sf_dir):
+    data = one_feature_data(spark, sf_dir)
+    model = ml.estimator("linear_regression").fit(data.train)
+    return rounded(ml.score(model, data.test, data.task.name, "linear_regression", "obs_ts"), "Predicted", digits=6)
+
+
+@query(
+    "ml_tune_linear",
+    f"""WITH {ONE_FEATURE_SQL}, t AS (SELECT x, y, rn, CAST(FLOOR(n*0.8) AS BIGINT) AS m FROM numbered WHERE rn < FLOOR(n*0.8)),
+f1 AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t WHERE rn < m//3),
+f2 AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t WHERE rn < 2*m//3),
+s AS (SELECT (SELECT SQRT(AVG((y - a - b*x)*(y - a - b*x))) FROM t, f1 WHERE rn >= m//3 AND rn < 2*m//3) AS s1,
+ (SELECT SQRT(AVG((y - a - b*x)*(y - a - b*x))) FROM t, f2 WHERE rn >= 2*m//3) AS s2)
+SELECT 'intensity' AS task, 'linear_regression' AS model, CAST(2 AS INTEGER) AS folds,
+ ROUND((s1 + s2)/2, 6) AS mean_score, CAST(1 AS INTEGER) AS rank FROM s""",
+    ("meter",),
+)
+def ml_tune_linear(spark, sf_dir):
+    data = one_feature_data(spark, sf_dir)
+    folds = prep.expanding_folds(data.train_rows)
+    results = ml.tune(data, "linear_regression", folds, space={"max_iter": [100]})
+    return rounded(ml.tuning_table(spark, "intensity", results).drop("parameters"), "mean_score", digits=6)
+
+
 @query("ml_linreg_predict")
 def ml_linreg_predict(spark, sf_dir):
     return _predicted(spark, sf_dir, "linear_regression")

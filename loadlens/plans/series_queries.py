@@ -132,16 +132,17 @@ TEXT_FILL = FILL.replace(
 )
 
 
-@query(
-    "cln_full",
-    f"""
-WITH typed AS (SELECT DISTINCT Date, Time, {_each('TRY_CAST({c} AS DOUBLE) AS {c}')} FROM raw),
+CLEANED_TEXT = f"""typed AS (SELECT DISTINCT Date, Time, {_each('TRY_CAST({c} AS DOUBLE) AS {c}')} FROM raw),
 stamped AS (SELECT strptime(Date || ' ' || Time, '%d/%m/%Y %H:%M:%S') AS obs_ts, {_each('{c}')} FROM typed),
 filled AS (SELECT obs_ts, {_each(TEXT_FILL)} FROM stamped),
 zeroed AS (SELECT obs_ts, Voltage0 AS Voltage, {_each('GREATEST(COALESCE({c}, 0e0), 0e0) AS {c}', UNSIGNED)}
  FROM (SELECT *, COALESCE(Voltage, 0e0) AS Voltage0 FROM filled) z),
-fences AS ({_fences('zeroed')})
-SELECT obs_ts AS Timestamp, {_each(CAP)} FROM zeroed""",
+fences AS ({_fences('zeroed')})"""
+
+
+@query(
+    "cln_full",
+    f"WITH {CLEANED_TEXT} SELECT obs_ts AS Timestamp, {_each(CAP)} FROM zeroed",
     ("meter", "raw"),
 )
 def cln_full(spark, sf_dir):

@@ -9,13 +9,16 @@ from loadlens.operators import energy as en
 from loadlens.operators import quality
 from loadlens.operators.ordered import RN
 from loadlens.operators.ranking import rank_candidates, with_failed
+from loadlens.plans import household
 from loadlens.plans.energy_queries import KWH, _windowed, clean_meter
 from loadlens.plans.fixtures import METER_COLUMNS, candidates, failed_candidates, meter, predictions, raw_text, table
-from loadlens.plans.ranking_queries import RANKED_COLUMNS, RANKED_SQL
+from loadlens.plans.ranking_queries import RANKED_SQL
 from loadlens.plans.registry import query, rounded
 from loadlens.plans.series_queries import (
     ALL_FEATURES_SQL,
+    CAP,
     CLEAN_METER,
+    CLEANED_TEXT,
     FLOAT_FEATURES,
     _each,
     all_features,
@@ -247,6 +250,21 @@ def dq_dataset_summary(spark, sf_dir):
     return quality.dataset_summary(meter(spark, sf_dir), METER_COLUMNS, "obs_ts")
 
 
+@query(
+    "flow_file_to_energy",
+    f"""WITH {CLEANED_TEXT}, capped AS (SELECT obs_ts, {_each(CAP.replace("ROUND(", "(").replace(", 9)", ")"))} FROM zeroed)
+SELECT date_trunc('hour', obs_ts) AS Window_Start, date_trunc('hour', obs_ts) + INTERVAL '1 hour' AS Window_End,
+ ROUND(SUM(Global_active_power)/60e0, 9) AS Energy_Global_active_power,
+ ROUND(SUM(Global_reactive_power)/60e0, 9) AS Energy_Global_reactive_power,
+ ROUND(SUM(Global_active_power)/60e0*0.5e0, 9) AS Carbon_Emission_kgCO2 FROM capped GROUP BY 1, 2""",
+    ("meter", "raw"),
+)
+def flow_file_to_energy(spark, sf_dir):
+    options = household.Options(quantile_error=0.0)
+    readings = household.cleaned(household.read_valid(spark, raw_file(spark, sf_dir), options), options)
+    return rounded(household.energy_tables(readings.df)["hourly"], *KWH)
+
+
 @query(
     "src_read_and_parse",
     f"""WITH {TEXT} SELECT strptime(Date || ' ' || Time, '%d/%m/%Y %H:%M:%S') AS Timestamp,
