@@ -138,6 +138,8 @@ def residual_kde(
             "n",
             (F.pow(F.col("n"), F.lit(-0.2)) * F.col("sd")).alias("h"),
             ((F.col("high") - F.col("low")) / (points - 1)).alias("gap"),
+            # a number is cheaper to group by than the names, once per kernel and grid point
+            F.monotonically_increasing_id().alias("series"),
         )
     )
     counted = residuals.groupBy(*keys, "x").agg(F.count("*").alias("c"))
@@ -147,9 +149,9 @@ def residual_kde(
     last = F.least(F.ceil(middle + reach), F.lit(points - 1))
     spread = rows.withColumn("point", F.explode(F.sequence(first, last)))
     distance = (F.col("low") + F.col("point") * F.col("gap") - F.col("x")) / F.col("h")
-    sums = spread.groupBy(*keys, "point").agg(F.sum(F.col("c") * F.exp(-0.5 * distance * distance)).alias("s"))
+    sums = spread.groupBy("series", "point").agg(F.sum(F.col("c") * F.exp(-0.5 * distance * distance)).alias("s"))
     all_points = grids.withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
-    return all_points.join(sums, [*keys, "point"], "left").select(
+    return all_points.join(sums, ["series", "point"], "left").select(
         *keys,
         F.col("point").cast("int").alias("point"),
         (F.col("low") + F.col("point") * F.col("gap")).alias("x"),

@@ -34,6 +34,9 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query(spark, duck, name):
     frame = contract.queries()[name](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "BatchEvalPython" not in plan
     rows = frame.collect()
     sql = contract.oracle_sql().get(name)
     if sql is None:
