@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loadlens.functions.calendar import season_name, season_order
 from loadlens.functions.tariff import time_of_use_price
+from loadlens.sources.shared import stage
 
 # Fixed values
 POWER_COLUMNS = ["Global_active_power", "Global_reactive_power"]
@@ -53,11 +54,12 @@ def monthly_energy(
     *,
     ts: str = "Timestamp",
     columns: list[str] | None = None,
+    series: list[str] | None = None,
     carbon_factor: float = CARBON_KG_PER_KWH,
     per_hour: float = READINGS_PER_HOUR,
 ) -> DataFrame:
     """Energy per calendar year and month."""
-    return df.groupBy(F.year(ts).alias("Year"), F.month(ts).alias("Month")).agg(
+    return df.groupBy(*(series or []), F.year(ts).alias("Year"), F.month(ts).alias("Month")).agg(
         *_energy(columns or POWER_COLUMNS, carbon_factor, per_hour)
     )
 
@@ -67,6 +69,7 @@ def seasonal_energy(
     *,
     ts: str = "Timestamp",
     columns: list[str] | None = None,
+    series: list[str] | None = None,
     meteorological_year: bool = False,
     carbon_factor: float = CARBON_KG_PER_KWH,
     per_hour: float = READINGS_PER_HOUR,
@@ -76,11 +79,32 @@ def seasonal_energy(
     year = F.year(ts)
     if meteorological_year:
         year = F.when(F.month(ts) == 12, year + 1).otherwise(year)
-    return df.groupBy(year.alias("Year"), season_name(F.month(ts)).alias("Season")).agg(
+    return df.groupBy(*(series or []), year.alias("Year"), season_name(F.month(ts)).alias("Season")).agg(
         *_energy(columns or POWER_COLUMNS, carbon_factor, per_hour)
     )
 
 
+def energy_tables(df: DataFrame, *, ts: str = "Timestamp", series: list[str] | None = None) -> dict[str, DataFrame]:
+    """Hourly, daily, weekly, monthly and seasonal energy from one pass over the readings.
+
+    Hours nest in all longer periods, so those are sums over the staged hourly table.
+    """
+    hourly = stage(windowed_energy(df, DURATIONS["hourly"], ts=ts, series=series), "hourly")
+    # hourly energy adds up like power read once an hour
+    hours = hourly.withColumnsRenamed({f"Energy_{c}": c for c in POWER_COLUMNS} | {"Window_Start": ts})
+    made = {
+        name: windowed_energy(hours, span, ts=ts, series=series, per_hour=1.0)
+        for name, span in DURATIONS.items()
+        if name != "hourly"
+    }
+    return {
+        "hourly": hourly,
+        **made,
+        "monthly": monthly_energy(hours, ts=ts, series=series, per_hour=1.0),
+        "seasonal": seasonal_energy(hours, ts=ts, series=series, per_hour=1.0),
+    }
+
+
 def carbon_by_month(monthly: DataFrame) -> DataFrame:
     """Monthly carbon with the first day of the month as date, in date order."""
     return monthly.select(

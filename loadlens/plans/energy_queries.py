@@ -122,6 +122,21 @@ def en_seasonal_meteorological(spark, sf_dir):
     return rounded(seasonal, *KWH)
 
 
+@query(
+    "en_monthly_from_hourly",
+    f"""SELECT CAST(year(obs_ts) AS INTEGER) AS Year, CAST(month(obs_ts) AS INTEGER) AS Month, {SHIP_SUMS}
+FROM ship GROUP BY 1, 2""",
+    ("ship",),
+)
+def en_monthly_from_hourly(spark, sf_dir):
+    return rounded(en.energy_tables(shipments(spark, sf_dir), ts="obs_ts")["monthly"], *KWH)
+
+
+@query("en_weekly_from_hourly", _windowed("time_bucket(INTERVAL '7 days', obs_ts, TIMESTAMP '1970-01-01')", "7 days"), ("meter",))
+def en_weekly_from_hourly(spark, sf_dir):
+    return rounded(en.energy_tables(clean_meter(spark, sf_dir), ts="obs_ts")["weekly"], *KWH)
+
+
 @query(
     "en_carbon_monthly",
     """SELECT CAST(date_trunc('month', obs_ts) AS DATE) AS Date,

@@ -59,12 +59,6 @@ def cleaned(raw: DataFrame, options: Options) -> OrderedRows:
     )
 
 
-def energy_tables(df: DataFrame) -> dict[str, DataFrame]:
-    """Hourly, daily, weekly, monthly and seasonal energy and carbon."""
-    made = {name: energy.windowed_energy(df, span) for name, span in energy.DURATIONS.items()}
-    return {**made, "monthly": energy.monthly_energy(df), "seasonal": energy.seasonal_energy(df)}
-
-
 def train_and_rank(
     spark: SparkSession, ordered: OrderedRows, experiment_id: str, options: Options
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -110,7 +104,7 @@ def run(
     options = options or Options()
     ordered = cleaned(read_valid(spark, path, options), options)
     written = {"energy": f"{out}/energy"}
-    tables.save_aggregates(energy_tables(ordered.df), written["energy"])
+    tables.save_aggregates(energy.energy_tables(ordered.df), written["energy"])
     made = features.add_features(ordered)
     written["features"] = tables.save_features(made.df, f"{out}/features", overwrite=True)
     # later steps read the saved features instead of computing them again

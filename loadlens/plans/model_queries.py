@@ -9,11 +9,11 @@ from loadlens.operators import chartdata as ch
 from loadlens.operators import models as ml
 from loadlens.operators import prep
 from loadlens.operators.features import add_calendar, add_electrical
-from loadlens.operators.ordered import RN, order_rows
+from loadlens.operators.ordered import order_rows
 from loadlens.operators.ranking import rank_candidates
-from loadlens.plans.fixtures import METER_COLUMNS, candidates, meter
+from loadlens.plans.fixtures import candidates, meter
 from loadlens.plans.registry import query, rounded
-from loadlens.plans.series_queries import CALENDAR_SQL, CLEAN_METER, KEYS, ORDER, all_features, clean_meter
+from loadlens.plans.series_queries import CLEAN_METER, KEYS, ORDER, all_features, clean_meter
 from loadlens.sources.shared import shared_path
 
 TASKS = prep.tasks("leak_free")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from loadlens.operators import ranking as rk
 from loadlens.plans.fixtures import candidates, failed_candidates, runs
 from loadlens.plans.registry import query, rounded

@@ -93,9 +93,7 @@ def snk_predictions_roundtrip(spark, sf_dir):
 @query("snk_energy_roundtrip", _windowed("date_trunc('day', obs_ts)", "1 day"), ("meter",))
 def snk_energy_roundtrip(spark, sf_dir):
     base = shared_path(spark, "energy")
-    readings = clean_meter(spark, sf_dir)
-    made = {name: en.windowed_energy(readings, span, ts="obs_ts") for name, span in en.DURATIONS.items()}
-    tables.save_aggregates(made, base)
+    tables.save_aggregates(en.energy_tables(clean_meter(spark, sf_dir), ts="obs_ts"), base)
     return rounded(tables.load_aggregate(spark, base, "daily"), *KWH)
 
 
@@ -225,6 +223,18 @@ def dq_report(spark, sf_dir):
     return quality.validation_report(raw_readings(spark, sf_dir))
 
 
+@query(
+    "dq_schema_report",
+    f"""WITH {TEXT}, report AS ({_report_sql()})
+SELECT * FROM report WHERE "check" IN ('row_count', 'required_column', 'delimiter', 'type')""",
+    ("meter", "raw"),
+)
+def dq_schema_report(spark, sf_dir):
+    report = quality.validation_report(raw_readings(spark, sf_dir))
+    schema = ["row_count", "required_column", "extra_column", "duplicate_column", "delimiter", "type"]
+    return report.where(F.col("check").isin(schema))
+
+
 @query(
     "dq_overall",
     f"""WITH {TEXT}, report AS ({_report_sql()})
@@ -262,7 +272,7 @@ SELECT date_trunc('hour', obs_ts) AS Window_Start, date_trunc('hour', obs_ts) +
 def flow_file_to_energy(spark, sf_dir):
     options = household.Options(quantile_error=0.0)
     readings = household.cleaned(household.read_valid(spark, raw_file(spark, sf_dir), options), options)
-    return rounded(household.energy_tables(readings.df)["hourly"], *KWH)
+    return rounded(en.energy_tables(readings.df)["hourly"], *KWH)
 
 
 @query(
