@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loadlens.llm import bpe
-from loadlens.llm.common import table
+from loadlens.llm import bpe, langid, rules, warc
+from loadlens.llm.common import crc_mod, table
+from loadlens.sources.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,5 +25,66 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op9_byte_bpe": op9_byte_bpe}
-ORACLES: dict[str, str] = {}
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC archives and read them back as chunk rows."""
+    chunks = warc.chunk_rows(table(spark, sf_dir, "pages"))
+    manifest = warc.write_archives(chunks, warc.new_folder(spark))
+    rows = warc.read_chunks(spark, manifest, data=False).where("last")
+    # the digest of a response is the one computed while reading
+    return rows.select(
+        F.col("record_key").cast("long").alias("page_id"),
+        F.when(F.col("record_type") == "response", F.col("bytes_so_far"))
+        .otherwise(F.col("payload_bytes"))
+        .alias("payload_bytes"),
+        F.coalesce("digest_so_far", "payload_digest").alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+OP1_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), f AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 3) == 1
+    # a null id has no remainder: such rows are not held out and not learned from
+    model = langid.train(documents.where(~held_out))
+    held = F.coalesce(held_out, F.lit(False)).alias("held_out")
+    return langid.predict(documents, model, keep=(F.col("doc_id"), held))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and the verdict of the learned decision list."""
+    counts = stage(rules.statistics(table(spark, sf_dir, "documents")), "text-counts")
+    learned = rules.learn(counts, table(spark, sf_dir, "labels"))
+    failed = F.expr(rules.BASE_FAILED)
+    return counts.select(
+        "doc_id",
+        *rules.BASE,
+        failed.alias("base_failed"),
+        (~failed & rules.verdict(learned)).alias("kept"),
+    )
+
+
+QUERIES: dict[str, Query] = {
+    "op1_warc_chunks": op1_warc_chunks,
+    "op2_language_id": op2_language_id,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_byte_bpe": op9_byte_bpe,
+}
+ORACLES: dict[str, str] = {"op1_warc_chunks": OP1_SQL}
