@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm import bpe, langid, rules, warc
+from loadlens.llm import bpe, langid, rules, sharding, warc
 from loadlens.llm.common import crc_mod, table
 from loadlens.sources.shared import stage
 
@@ -68,6 +68,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, model, keep=(F.col("doc_id"), held))
 
 
+def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 16).select(
+        "*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document and the verdict of the learned decision list."""
     counts = stage(rules.statistics(table(spark, sf_dir, "documents")), "text-counts")
@@ -84,6 +91,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_language_id": op2_language_id,
+    "op4_histogram_shards": op4_histogram_shards,
     "op6_quality_rules": op6_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
 }
