@@ -8,13 +8,55 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm import bpe, langid, rules, sharding, warc
+from loadlens.llm import bpe, langid, linedup, rules, sharding, warc
 from loadlens.llm.common import crc_mod, table
 from loadlens.sources.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of repeated line runs of 50 words or more."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linedup.dedup_lines(documents).select("doc_id", "text", "n_lines", "n_deleted_lines")
+
+
+OP7_SQL = r"""
+WITH l AS (
+    SELECT doc_id, text, u.n - 1 AS i, string_split(text, chr(10))[u.n] AS content
+    FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n) u
+), w AS (
+    SELECT *, len(regexp_extract_all(content, '[^\x20\x09-\x0D]+')) AS words FROM l
+), c AS (
+    SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+           count(*) OVER (PARTITION BY content) AS places
+    FROM w
+), r AS (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS stretch FROM c WHERE places > 1
+), runs AS (
+    -- every shortest run of 50 words from a line on, and back from a line
+    SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM r a JOIN r b
+        ON a.doc_id = b.doc_id AND a.stretch = b.stretch AND b.i >= a.i AND b.before + b.words - a.before >= 50
+        GROUP BY ALL
+    UNION
+    SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM r a JOIN r b
+        ON a.doc_id = b.doc_id AND a.stretch = b.stretch AND b.i >= a.i AND b.before + b.words - a.before >= 50
+        GROUP BY b.doc_id, b.stretch, b.i
+), contents AS (
+    SELECT x.doc_id, x.s, x.e, string_agg(r.content, chr(10) ORDER BY r.i) AS body
+    FROM runs x JOIN r ON r.doc_id = x.doc_id AND r.i BETWEEN x.s AND x.e GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY body, e - s ORDER BY doc_id, s) AS copy FROM contents
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM ranked WHERE copy > 1
+)
+SELECT w.doc_id, coalesce(string_agg(w.content, chr(10) ORDER BY w.i) FILTER (WHERE g.i IS NULL), '') AS text,
+       count(*) AS n_lines, count(g.i) AS n_deleted_lines
+FROM w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i
+GROUP BY w.doc_id
+"""
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document; the ids themselves stay in the tasks."""
     return bpe.encode_documents(
@@ -93,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op4_histogram_shards": op4_histogram_shards,
     "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op1_warc_chunks": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_warc_chunks": OP1_SQL, "op7_line_dedup": OP7_SQL}
