@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm import bpe, langid, linedup, rules, sharding, warc
+from loadlens.llm import bpe, decontam, langid, linedup, rules, sharding, warc
 from loadlens.llm.common import crc_mod, table
 from loadlens.sources.shared import stage
 
@@ -110,6 +110,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, model, keep=(F.col("doc_id"), held))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and its best window."""
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"), 16).select(
@@ -133,6 +138,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_language_id": op2_language_id,
+    "op3_decontaminate": op3_decontaminate,
     "op4_histogram_shards": op4_histogram_shards,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
