@@ -57,34 +57,43 @@ def merge_all(piece: bytes, ranks: Ranks) -> list[bytes]:
 
 @dataclass(eq=False, slots=True)
 class State:
-    """``token`` was emitted and ``pending`` read since.
+    """A token was emitted and some bytes, ``pending``, read since.
 
-    ``last`` and ``back`` hold, for every prefix of ``pending``, the last token of its
+    ``last`` and ``back`` hold, for every prefix of these bytes, the last token of its
     encoding and where that token starts; ``live`` are the positions where a token that
-    is still being read may start; ``flush`` ends the piece here.
+    is still being read may start, with its node in the trie of tokens; ``flush`` ends
+    the piece here.
     """
 
-    token: int
     pending: bytes
-    last: list[int | None]
-    back: list[int]
-    live: list[int]
+    last: tuple[int, ...]
+    back: tuple[int, ...]
+    live: tuple[tuple[int, dict], ...]
     flush: tuple[int, ...] = ()
     moves: dict[int, tuple[State, tuple[int, ...]]] = field(default_factory=dict)
 
 
+_BYTES = [bytes((b,)) for b in range(256)]
+_RANK = -1  # key of a trie node's own rank, beside the bytes that go on
+
+
 class MergeTransducer:
     def __init__(self, ranks: Ranks, max_states: int = MAX_STATES):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
+        self.trie: dict = {}
+        for token, rank in ranks.items():
+            node = self.trie
+            for byte in token:
+                node = node.setdefault(byte, {})
+            node[_RANK] = rank
         self.max_states = max_states
         self._fits: dict[tuple[int, int], bool] = {}
         self._halves: dict[int, tuple[int, int]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.start = State(-1, b"", [-1], [0], [0])
+        self.start = State(b"", (-1,), (0,), ((0, self.trie),))
         self.states = {(-1, b""): self.start}
 
     def halves(self, token: int) -> tuple[int, int]:
@@ -147,20 +156,25 @@ class MergeTransducer:
         """The state after ``byte`` and the tokens that are now final."""
         if len(self.states) > self.max_states:
             self._reset()
-        pending = state.pending + bytes((byte,))
-        end = len(pending)
-        last, back = [*state.last, None], [*state.back, 0]
-        for begin in state.live:  # the longest token first
-            rank = self.ranks.get(pending[begin:])
-            if rank is not None and last[begin] is not None and self.fits(last[begin], rank):
-                last[end], back[end] = rank, begin
-                break
-        else:
+        last, token, begin, live = state.last, None, 0, []
+        for at, node in state.live:  # the longest token first
+            node = node.get(byte)
+            if node is None:
+                continue
+            if token is None and _RANK in node:
+                rank = node[_RANK]
+                fits = self._fits.get((last[at], rank))
+                if self.fits(last[at], rank) if fits is None else fits:
+                    token, begin = rank, at
+            if len(node) > (_RANK in node):
+                live.append((at, node))
+        if token is None:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        live = [at for at in state.live if pending[at:] in self.prefixes]
+        end = len(last)
+        last, back = (*last, token), (*state.back, begin)
         # the latest position that the encodings at all live positions have in common
         final = end
-        for at in live:
+        for at, _ in live:
             while at != final:
                 if at > final:
                     at = back[at]
@@ -170,22 +184,21 @@ class MergeTransducer:
         while at:
             emitted.append(last[at])
             at = back[at]
-        token, rest = last[final], pending[final:]
-        following = self.states.get((token, rest))
+        rest = (state.pending + _BYTES[byte])[final:]
+        following = self.states.get((last[final], rest))
         if following is None:
             flush, at = [], end
             while at > final:
                 flush.append(last[at])
                 at = back[at]
-            following = self.states[token, rest] = State(
-                token,
-                rest,
-                [token, *last[final + 1 :]],
-                [0, *(max(0, x - final) for x in back[final + 1 :])],
-                [at - final for at in live if at >= final] + [end - final],
-                tuple(reversed(flush)),
-            )
-        found = state.moves[byte] = following, tuple(reversed(emitted))
+            flush.reverse()
+            if final:
+                back = (0, *[x - final if x > final else 0 for x in back[final + 1 :]])
+                live = [(at - final, node) for at, node in live if at >= final]
+            live.append((end - final, self.trie))
+            following = self.states[last[final], rest] = State(rest, last[final:], back, tuple(live), tuple(flush))
+        emitted.reverse()
+        found = state.moves[byte] = following, tuple(emitted)
         return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:

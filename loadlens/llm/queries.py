@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm import bpe, decontam, langid, linedup, rules, sharding, warc
+from loadlens.llm import bpe, decontam, langid, linedup, pii, rules, sharding, warc
 from loadlens.llm.common import crc_mod, table
 from loadlens.sources.shared import stage
 
@@ -135,6 +135,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, base forms and discovered identifiers."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_language_id": op2_language_id,
@@ -143,5 +148,6 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {"op1_warc_chunks": OP1_SQL, "op7_line_dedup": OP7_SQL}
