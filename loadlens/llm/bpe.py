@@ -18,6 +18,7 @@ its own raises. Extra columns are ignored, repeated rows are encoded each.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -156,6 +157,7 @@ class MergeTransducer:
         """The state after ``byte`` and the tokens that are now final."""
         if len(self.states) > self.max_states:
             self._reset()
+            gc.collect()  # states refer to each other
         last, token, begin, live = state.last, None, 0, []
         for at, node in state.live:  # the longest token first
             node = node.get(byte)
@@ -314,6 +316,14 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(sent.value, pattern)
+        # the collector would walk all states and pieces again and again, and free none
+        gc.disable()
+        try:
+            yield from encode_all(tokenizer, batches)
+        finally:
+            gc.enable()
+
+    def encode_all(tokenizer: Tokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = tokenizer.names
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
