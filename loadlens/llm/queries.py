@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm import bpe, decontam, langid, linedup, pii, rules, sharding, warc
+from loadlens.llm import bpe, decontam, langid, linedup, neardup, pii, rules, sharding, warc
 from loadlens.llm.common import crc_mod, table
 from loadlens.sources.shared import stage
 
@@ -122,6 +122,11 @@ def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are 0.85 alike."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document and the verdict of the learned decision list."""
     counts = stage(rules.statistics(table(spark, sf_dir, "documents")), "text-counts")
@@ -145,6 +150,7 @@ QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_histogram_shards": op4_histogram_shards,
+    "op5_minhash_near_dup": op5_minhash_near_dup,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
