@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm import bpe, decontam, langid, linedup, neardup, pii, rules, sharding, warc
+from loadlens.llm import bpe, decontam, langid, lattice, linedup, neardup, pii, rules, sharding, warc
 from loadlens.llm.common import crc_mod, table
 from loadlens.sources.shared import stage
 
@@ -57,6 +57,15 @@ GROUP BY w.doc_id
 """
 
 
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and lattice scores of all documents, learned from those that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 7) == 2
+    held = F.coalesce(held_out, F.lit(False)).alias("held_out")
+    pieces = lattice.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice.score(documents, ~held_out, pieces, keep=(F.col("doc_id"), held))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document; the ids themselves stay in the tasks."""
     return bpe.encode_documents(
@@ -153,6 +162,7 @@ QUERIES: dict[str, Query] = {
     "op5_minhash_near_dup": op5_minhash_near_dup,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
+    "op8_lattice_lm": op8_lattice_lm,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_personal_data": op10_personal_data,
 }
