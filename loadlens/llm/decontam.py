@@ -244,3 +244,11 @@ def matches(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
             "n_windows",
         )
     )
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``documents`` without those that hold a benchmark item."""
+    found = contaminated(documents.select(key, text), benchmark, key=key, text=text, **options)
+    hit = stage(found.select(F.col("doc").alias("__hit_doc"), F.col("hash").alias("__hit_hash")).distinct(), "contaminated")
+    same = F.col(key).eqNullSafe(F.col("__hit_doc")) & (F.xxhash64(text) == F.col("__hit_hash"))
+    return documents.join(hit, same, "left_anti")

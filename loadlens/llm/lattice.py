@@ -5,8 +5,9 @@ space and its bytes, any chain of pieces that spells it is a segmentation, and i
 probability is the sum over all chains, by the forward recursion in log space over the
 lattice of pieces. Pieces never cross words, so a text's probability is the product over
 its words, times that of the end. Piece probabilities start from the order of the
-vocabulary and are estimated by one step of expectation-maximisation over all words of
-the training texts, weighted by their counts.
+vocabulary and are estimated by expectation-maximisation over the words of the training
+texts, weighted by their counts: ``FIRST_STEPS`` steps over the ``HEAD`` most frequent
+words to start from, then one over all words, which alone makes the result.
 
 Word counts are gathered from all training texts. Scoring needs the count of every word:
 the ``HEAD`` most frequent words are broadcast, all others are joined by word.
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from loadlens.sources.shared import stage
 
 HEAD = 1 << 17
+FIRST_STEPS = 2
 FLUSH_WORDS = 200_000
 CACHED_WORDS = 400_000
 _END = -1  # a trie node's own log-probability, beside the bytes that go on
@@ -161,9 +163,10 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def estimate(counts: DataFrame, pieces: list[bytes], smoothing: float = 0.01) -> tuple[np.ndarray, float]:
-    """Log-probabilities of the pieces after one step over all words, and the pieces' expected total."""
-    start = first_log_probs(len(pieces))
+def estimate(
+    counts: DataFrame, pieces: list[bytes], start: np.ndarray, smoothing: float = 0.01
+) -> tuple[np.ndarray, float]:
+    """Log-probabilities of the pieces after one step over the words, and the pieces' expected total."""
     sent = counts.sparkSession.sparkContext.broadcast((pieces, start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +257,15 @@ def score(
     row = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, total = row[0] + (ends > 0), row[1] + ends
     whole = all_pieces(pieces)
-    log_probs, used = estimate(counts, whole)
+    first = stage(counts.orderBy(F.desc("n"), "word").limit(head), "head-words")
+    log_probs = first_log_probs(len(whole))
+    for _ in range(FIRST_STEPS):
+        log_probs, _used = estimate(first.repartition(spark.sparkContext.defaultParallelism), whole, log_probs)
+    log_probs, used = estimate(counts, whole, log_probs)
     # the end is one more piece, used once in a text
     share = ends / (used + ends) if ends else 0.5
     log_probs = log_probs + log(1 - share)
-    top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
+    top = first.collect()
     scorer = Scorer(whole, log_probs, log(share), {bytes(r["word"]): r["n"] for r in top})
     del top
     rows = stage(_doc_rows(documents, scorer, list(keep), text).withColumn("__row", F.monotonically_increasing_id()), "scored")

@@ -101,14 +101,16 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def fingerprints(
     documents: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``set`` and the ``bands`` of every row."""
-    picked = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    """``doc_id``, the text's ``hash``, ``n_shingles``, ``set`` and the ``bands`` of every row."""
+    picked = documents.select(
+        F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).cast("binary").alias("text")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                sets = [shingle_set(v.as_py() or b"", size) for v in batch.column(1)]
+                sets = [shingle_set(v.as_py() or b"", size) for v in batch.column(2)]
                 some = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 if some:
@@ -118,14 +120,15 @@ def fingerprints(
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
+                        batch.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_name(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "set", "bands"],
+                    ["doc_id", "hash", "n_shingles", "set", "bands"],
                 )
 
-    return picked.mapInArrow(run, "doc_id long, n_shingles long, `set` binary, bands array<long>")
+    return picked.mapInArrow(run, "doc_id long, hash long, n_shingles long, `set` binary, bands array<long>")
 
 
 def _sets_of(documents: DataFrame, wanted: DataFrame, size: int, key: str, text: str) -> DataFrame:
@@ -262,11 +265,11 @@ def links(documents: DataFrame, prints: DataFrame, size: int, percent: int, key:
     return by_hub.unionByName(rest)
 
 
-def near_duplicates(
+def components(
     documents: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row."""
+    """``doc_id``, ``hash`` of the text, ``n_shingles`` and ``component_id`` (null if it has no links) for every row."""
     prints = stage(fingerprints(documents, size, bands, rows, key, text), "set-fingerprints")
     roots = connected(links(documents, prints, size, percent, key, text))
     classes = prints.where("`set` IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("first"))
@@ -276,7 +279,41 @@ def near_duplicates(
     )
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("set", "component_id")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return prints.select("doc_id", "n_shingles", "set").join(named, "set", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
+    # exact copies share a set: a very large group is one key of this join, which AQE splits
+    found = prints.select("doc_id", "hash", "n_shingles", "set").join(named, "set", "left")
+    return found.select(
+        "doc_id", "hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    )
+
+
+def near_duplicates(documents: DataFrame, **options) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row."""
+    component = F.coalesce("component_id", "doc_id")
+    return components(documents, **options).select(
+        "doc_id",
+        "n_shingles",
+        component.alias("component_id"),
+        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+    )
+
+
+def drop_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``documents`` with one row of every component: the smallest id, then text hash; repeated rows go too.
+
+    Rows without words or without an id are linked with nothing and stay.
+    """
+    found = stage(
+        components(documents, key=key, text=text, **options).where("component_id IS NOT NULL"), "near-components"
+    )
+    row = F.struct("doc_id", "hash")
+    best = found.groupBy("component_id").agg(F.min(row).alias("best"))
+    marked = found.join(best, "component_id").groupBy("doc_id", "hash").agg(
+        F.max(row == F.col("best")).alias("best"), F.count(F.lit(1)).alias("n")
+    )
+    fate = stage(
+        marked.where("NOT best OR n > 1").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "best"), "near-fate"
     )
+    same = (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    alone = documents.join(fate, same, "left_anti")
+    repeated = documents.join(fate.where("best"), same, "left_semi").dropDuplicates([key, text])
+    return alone.unionByName(repeated)

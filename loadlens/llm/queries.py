@@ -139,7 +139,7 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document and the verdict of the learned decision list."""
     counts = stage(rules.statistics(table(spark, sf_dir, "documents")), "text-counts")
-    learned = rules.learn(counts, table(spark, sf_dir, "labels"))
+    learned = rules.learn(counts, rules.pick_labels(table(spark, sf_dir, "labels")))
     failed = F.expr(rules.BASE_FAILED)
     return counts.select(
         "doc_id",

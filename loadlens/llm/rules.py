@@ -24,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadlens.llm.words import among, span_hashes, window_hashes, word_spans
+from loadlens.sources.shared import stage
+
 MAX_LABELLED = 20_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTS = (*BASE, "n_bytes", "n_lines", "n_upper", "n_lower", "n_digits", "n_exclaim", "n_bars", "n_odd_ends", "n_same_next")
@@ -31,69 +34,12 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 
 
-def _among(characters: bytes) -> np.ndarray:
-    table = np.zeros(256, bool)
-    table[list(characters)] = True
-    return table
-
-
-_SPACE = _among(b" \t\n\x0b\x0c\r")
-_SYMBOL = _among(SYMBOLS)
-_UPPER = _among(bytes(range(65, 91)))
-_LOWER = _among(bytes(range(97, 123)))
-_DIGIT = _among(b"0123456789")
+_SYMBOL = among(SYMBOLS)
+_UPPER = among(bytes(range(65, 91)))
+_LOWER = among(bytes(range(97, 123)))
+_DIGIT = among(b"0123456789")
 # a word is expected to end in a letter (any byte of one beyond ASCII), a digit or plain punctuation
-_PLAIN_END = _UPPER | _LOWER | _DIGIT | _among(b".,;:?)\"'") | (np.arange(256) >= 128)
-
-
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every run of bytes that are no ASCII white space."""
-    solid = np.concatenate(([False], ~_SPACE[data], [False]))
-    edges = np.flatnonzero(solid[1:] != solid[:-1])
-    return edges[::2], edges[1::2]
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2 ** 64."""
-    size = 1 << max(16, (n + 1).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        up = np.full(size, _BASE, np.uint64)
-        down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[size]
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every span, from one running sum over the bytes."""
-    up, down = _powers(len(data))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[data] * up[: len(data)], dtype=np.uint64)))
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every ``size`` hashes in a row."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
-    return out
+_PLAIN_END = _UPPER | _LOWER | _DIGIT | among(b".,;:?)\"'") | (np.arange(256) >= 128)
 
 
 def _repeated(hashes: np.ndarray) -> np.ndarray:
@@ -276,10 +222,14 @@ def _cut_points(value: np.ndarray, bad: np.ndarray, cuts: int) -> np.ndarray:
     return (points[1:] + points[:-1]) / 2
 
 
-def learn(counts: DataFrame, labels: DataFrame, key: str = "doc_id", max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """``counts`` is best a staged table; ``labels`` has ``quality``, 0 for bad."""
+def pick_labels(labels: DataFrame, key: str = "doc_id", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``__key`` and ``quality`` (0 for bad) of at most ``max_labelled`` labelled rows, by the hash of the key."""
     known = labels.where("quality IS NOT NULL").select(F.col(key).alias("__key"), "quality")
-    picked = known.orderBy(F.xxhash64("__key"), "__key", "quality").limit(max_labelled)
+    return known.orderBy(F.xxhash64("__key"), "__key", "quality").limit(max_labelled)
+
+
+def learn(counts: DataFrame, picked: DataFrame, key: str = "doc_id", max_labelled: int = MAX_LABELLED) -> list[Rule]:
+    """The decision list from ``counts`` (best staged) and ``pick_labels``."""
     sample = (
         counts.join(F.broadcast(picked), F.col(key) == F.col("__key"))
         .select(
@@ -287,7 +237,7 @@ def learn(counts: DataFrame, labels: DataFrame, key: str = "doc_id", max_labelle
             F.pmod(F.xxhash64("__key", F.lit("part")), F.lit(1 << 20)).alias("__part"),
             *[F.expr(sql).alias(name) for name, sql in FEATURES.items()],
         )
-        .orderBy(*FEATURES, "quality")
+        .orderBy(*FEATURES, "quality", "__part")
         .limit(max_labelled)
         .toArrow()
     )
@@ -297,6 +247,15 @@ def learn(counts: DataFrame, labels: DataFrame, key: str = "doc_id", max_labelle
     return sequential_covering(values, sample["quality"].to_numpy() == 0, sample["__part"].to_numpy())
 
 
+def learn_from_texts(documents: DataFrame, labels: DataFrame, key: str, text: str) -> list[Rule]:
+    """As ``learn``, counting only the texts of the labelled rows that are picked."""
+    picked = stage(pick_labels(labels), "picked-labels")
+    rows = documents.select(key, text).join(
+        F.broadcast(picked.select("__key").distinct()), F.col(key) == F.col("__key"), "left_semi"
+    )
+    return learn(statistics(rows, text, (key,)), picked, key)
+
+
 def verdict(rules: list[Rule]) -> Column:
     """The decision list as one ordered conditional: false where the first rule that holds rejects."""
     if not rules:
