@@ -20,8 +20,8 @@ The radius limits what step 3 finds: at similarity 0.8 the expected distance is
 a deviation of 3, so the default of 23 leaves out fewer than one such pair in 10,000.
 
 Edge cases: null texts and texts without words match nothing; an item or document with
-fewer words than a shingle is one shingle; items with equal texts match each; rows
-equal in id and text count once; null ids are an id of their own; extra columns are
+fewer words than a shingle is one shingle; items with equal texts match each, and the
+texts of one id are searched each; rows equal in id and text count once; null ids are an id of their own; extra columns are
 ignored.
 """
 
@@ -76,13 +76,14 @@ def _shingle_hash(words: list[Column]) -> Column:
 
 
 def item_rows(benchmark: DataFrame, key: str = "item_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """Items with words: ``item``, number of ``words`` and the ``shingles``."""
+    """Items with words: ``item``, ``item_hash`` of the text, number of ``words`` and the ``shingles``."""
     words = words_of(F.col(text))
     return (
         benchmark.where(F.col(text).isNotNull())
-        .select(F.col(key).alias("item"), words.alias("w"))
+        .select(F.col(key).alias("item"), F.xxhash64(text).alias("item_hash"), words.alias("w"))
         .where("size(w) > 0")
-        .select("item", F.size("w").alias("words"), shingles_of(F.col("w"), size).alias("shingles"))
+        .dropDuplicates(["item", "item_hash"])
+        .select("item", "item_hash", F.size("w").alias("words"), shingles_of(F.col("w"), size).alias("shingles"))
     )
 
 
@@ -186,15 +187,18 @@ def contaminated(
     )
     by_document = starts.groupBy("doc", "hash").agg(F.collect_set(F.struct("start", "words")).alias("at"))
     same = F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("hash") == F.col("__hash"))
+
+    def cut(a: Column) -> Column:
+        shingles = shingles_of(F.slice("w", a["start"] + 1, a["words"]), size)
+        return F.struct(a["start"].alias("start"), a["words"].alias("words"), shingles.alias("shingles"))
+
     windows = stage(
         texts.join(by_document, same)
         .dropDuplicates(["__doc", "__hash"])
         .select("doc", "hash", words_of(F.col("__text")).alias("w"), "at")
-        .select("doc", "hash", "w", F.explode("at").alias("a"))
-        .select(
-            "doc", "hash", F.col("a.start").alias("start"), F.col("a.words").alias("words"),
-            shingles_of(F.slice("w", F.col("a.start") + 1, F.col("a.words")), size).alias("shingles"),
-        ),
+        # a document's words must not be copied into a row for each window
+        .select("doc", "hash", F.explode(F.transform("at", cut)).alias("a"))
+        .select("doc", "hash", "a.start", "a.words", "a.shingles"),
         "window-shingles",
     )
     place = ["doc", "hash", "start", "words"]
@@ -204,24 +208,27 @@ def contaminated(
     unique = distinct.groupBy("content", "words").agg(F.min("shingles").alias("shingles"))
     unique = stage(unique, "distinct-windows")
     prints = _fingerprints(unique, ["content", "words"], size)
-    item_prints = _fingerprints(items, ["item", "words"], size)
+    item_prints = _fingerprints(items, ["item", "item_hash", "words"], size)
     entered = item_prints.select(
-        "item", F.col("words").alias("item_words"), F.col("print").alias("item_print"),
+        "item", "item_hash", F.col("words").alias("item_words"), F.col("print").alias("item_print"),
         F.posexplode(blocks_of(F.col("print"))).alias("block", "own"),
-    ).select("item", "item_words", "item_print", "block", F.explode(F.array(*[F.lit(m) for m in near_values(radius)])).alias("mask"), "own")
+    ).select("item", "item_hash", "item_words", "item_print", "block", F.explode(F.array(*[F.lit(m) for m in near_values(radius)])).alias("mask"), "own")
     entered = entered.withColumn("value", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
     looked_up = prints.select("*", F.posexplode(blocks_of(F.col("print"))).alias("block", "value"))
     near = (
         looked_up.join(entered, ["block", "value"])
         .where("words = item_words")
         .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-        .select("content", "words", "item")
+        .select("content", "words", "item", "item_hash")
         .distinct()
     )
+    known = items.select(
+        F.col("item").alias("__item"), F.col("item_hash").alias("__item_hash"), F.col("shingles").alias("item_shingles")
+    )
     similarity = weighted_similarity(F.col("shingles"), F.col("item_shingles"))
     verified = (
         near.join(unique, ["content", "words"])
-        .join(items.select("item", F.col("shingles").alias("item_shingles")), "item")
+        .join(known, (F.col("item_hash") == F.col("__item_hash")) & F.col("item").eqNullSafe(F.col("__item")))
         .select("content", "words", "item", similarity.alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )
