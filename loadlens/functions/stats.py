@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 # send these functions with the query, so that workers need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-EXACT_RANK_ROWS = 50  # largest sample whose rank sums are counted exactly
+EXACT_RANK_ROWS = 1_000  # largest sample whose rank sums can be counted exactly
+SERIES_DF = 1_000  # from here on the t tail is integrated
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(20)
 
 
 def normal_two_sided(z: float) -> float:
@@ -44,8 +46,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"incomplete beta function of {a}, {b}, {x} has not converged")
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -62,10 +64,33 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
+def _t_tails(t: float, df: float) -> float:
+    """P(|T| >= |t|) for large ``df``, by integration.
+
+    With v = sqrt(df log(1 + u^2 / df)) the density is nearly normal in v for every ``df``,
+    and no term is a difference of large numbers.
+    """
+    a = df / 2.0
+    start = math.sqrt(df * math.log1p(t * t / df))
+    reach = min(9.5, 45.0 / max(start, 1e-9))
+    edges = np.linspace(start, start + reach, 33)
+    half = (edges[1:] - edges[:-1])[:, None] / 2
+    v = (edges[1:] + edges[:-1])[:, None] / 2 + half * _NODES
+    ratio = v / np.sqrt(df * np.expm1(v * v / df))
+    # relative to the height at the start, which may be far below the smallest number
+    fall = np.exp(-(1.0 - 1.0 / df) / 2 * (v * v - start * start))
+    area = float((half * _WEIGHTS * fall * ratio).sum())
+    # log gamma(a + 1/2) - log gamma(a) - log(a) / 2
+    scale = -1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5)
+    return min(1.0, 2.0 * area * math.exp(scale - (1.0 - 1.0 / df) / 2 * start * start) / math.sqrt(2.0 * math.pi))
+
+
 def t_two_sided(t: float, df: float) -> float:
     """P(|T| >= |t|) for Student's t with ``df`` degrees of freedom."""
     if math.isinf(t):
         return 0.0
+    if df >= SERIES_DF:
+        return _t_tails(t, df)
     return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
@@ -87,6 +112,8 @@ def t_quantile(upper_tail: float, df: float) -> float:
 
 def rank_sum_two_sided(statistic: float, n: int) -> float:
     """Exact two-sided probability of a signed-rank sum as small, without ties or zeros."""
+    if n > EXACT_RANK_ROWS:
+        raise ValueError(f"exact rank sums of {n} pairs, at most {EXACT_RANK_ROWS} can be counted")
     ways = np.zeros(n * (n + 1) // 2 + 1)
     ways[0] = 1.0
     for r in range(1, n + 1):
@@ -111,7 +138,7 @@ def _t_upper(tail: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def _rank_sum_p(statistic: pd.Series, n: pd.Series) -> pd.Series:
-    exact = [rank_sum_two_sided(s, int(k)) if 0 < k <= EXACT_RANK_ROWS else None for s, k in zip(statistic, n)]
+    exact = [rank_sum_two_sided(s, int(k)) if k > 0 else None for s, k in zip(statistic, n)]
     return pd.Series(exact, dtype="float64")
 
 

@@ -16,8 +16,6 @@ MAPE_EPSILON = 1e-6
 MAPE_NEAR_ZERO_SHARE = 0.05
 ALPHA = 0.05
 MIN_PAIRS = 30
-SAMPLE_ROWS = 100_000
-SAMPLE_SEED = 42
 
 SERIES = ("Task", "Model")
 PAIR = ("Task", "baseline_model", "candidate_model")
@@ -33,18 +31,20 @@ def regression_metrics(
 ) -> DataFrame:
     """RMSE, MAE, R2 and MAPE (a fraction) of each predictor in one aggregation.
 
-    R2 is null for a constant target. MAPE divides by ``epsilon`` at least and is
-    reliable while under 5 % of the targets lie below it.
+    Only rows with both a target and a prediction count. R2 is null for a constant
+    target. MAPE divides by ``epsilon`` at least and is reliable while under 5 % of the
+    targets lie below it. Without rows and keys all is null and no row is counted.
     """
-    a, e = F.col(actual), F.col(actual) - F.col(predicted)
-    near_zero = F.count_if(F.abs(a) < epsilon) / F.count("*")
+    e = F.col(actual) - F.col(predicted)
+    a = F.when(e.isNotNull(), F.col(actual))
+    near_zero = F.try_divide(F.count_if(F.abs(a) < epsilon), F.count(e))
     return predictions.groupBy(*keys).agg(
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
         (1 - F.try_divide(F.avg(e * e), F.var_pop(a))).alias("r2"),
         F.avg(F.abs(e) / F.greatest(F.abs(a), F.lit(epsilon))).alias("mape"),
         (near_zero < MAPE_NEAR_ZERO_SHARE).alias("mape_is_reliable"),
-        F.count("*").alias("num_rows"),
+        F.count(e).alias("num_rows"),
     )
 
 
@@ -93,10 +93,16 @@ def paired_errors(
     )
 
 
-def sample_pairs(errors: DataFrame, max_rows: int = SAMPLE_ROWS, seed: int = SAMPLE_SEED) -> DataFrame:
-    """A seeded sample of about ``max_rows`` pairs. The tests here need none."""
-    rows = errors.count()
-    return errors if rows <= max_rows else errors.sample(False, max_rows / rows, seed)
+def sample_pairs(errors: DataFrame, fraction: float, on: Sequence[str] = ("Timestamp",)) -> DataFrame:
+    """About ``fraction`` of the pairs, by a digest of their row key; the tests here need none.
+
+    All models of a row are in or out together, and the same rows on every run.
+    """
+    if not 0 <= fraction <= 1:
+        raise ValueError(f"fraction must lie between 0 and 1, got {fraction}")
+    digest = F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in on])), 1, 8)
+    below = f"{min(int(fraction * 2**32), 2**32 - 1):08x}"
+    return errors if fraction == 1 else errors.where(digest < below)
 
 
 def paired_t(errors: DataFrame) -> DataFrame:
@@ -143,14 +149,17 @@ def wilcoxon(errors: DataFrame) -> DataFrame:
     )
 
 
-def wilcoxon_p_value(tested: DataFrame) -> DataFrame:
-    """Add ``p_value``: counted exactly for small samples without ties, else normal."""
-    exact = (
-        (F.col("sample_size") <= stats.EXACT_RANK_ROWS) & (F.col("tie_term") == 0) & ~F.col("has_zeros")
-    )
-    p = F.when(exact, stats.rank_sum_p_value(F.col("statistic"), F.col("sample_size"))).otherwise(
-        stats.normal_p_value(F.col("z"))
-    )
+def wilcoxon_p_value(tested: DataFrame, method: str = "normal") -> DataFrame:
+    """Add ``p_value``, by the normal limit or, ``exact``, by counting rank sums.
+
+    ``exact`` supposes no ties and no zeros and raises beyond 1,000 pairs.
+    """
+    if method not in ("normal", "exact"):
+        raise ValueError(f"unknown method {method}")
+    if method == "exact":
+        p = stats.rank_sum_p_value(F.col("statistic"), F.col("sample_size"))
+    else:
+        p = stats.normal_p_value(F.col("z"))
     return tested.withColumn("p_value", F.coalesce(p, F.lit(1.0)))
 
 
@@ -173,11 +182,14 @@ def compare_predictors(
     test: str = "wilcoxon",
     alpha: float = ALPHA,
     correction: str = "bonferroni",
+    method: str = "normal",
+    min_pairs: int = MIN_PAIRS,
     **columns: str,
 ) -> DataFrame:
     """Test the baseline against every other predictor of its task.
 
-    Pairs with fewer than 30 rows are not tested: p is 1 and a note says so.
+    With fewer than ``min_pairs`` rows there is no test: p is 1 and a note says so.
+    ``method`` is that of ``wilcoxon_p_value``.
     """
     if test not in ("wilcoxon", "paired_t"):
         raise ValueError(f"unknown test {test}")
@@ -186,18 +198,18 @@ def compare_predictors(
         errors = stage(errors, "errors")  # read for the ranks and for the mean differences
     means = paired_t(errors)
     if test == "wilcoxon":
-        ranked = wilcoxon_p_value(wilcoxon(errors)).select(*PAIR, "statistic", "p_value")
+        ranked = wilcoxon_p_value(wilcoxon(errors), method).select(*PAIR, "statistic", "p_value")
         tested = means.join(ranked, list(PAIR))
     else:
         p = stats.t_p_value(F.col("t"), F.col("sample_size") - 1)
         tested = means.withColumns({"statistic": F.col("t"), "p_value": p})
-    enough = F.col("sample_size") >= MIN_PAIRS
+    enough = F.col("sample_size") >= min_pairs
     adjusted = with_adjusted_alpha(tested, alpha, correction)
     reach = F.when(
         F.col("sem_diff") > 0,
         F.col("sem_diff") * stats.t_upper_quantile(F.col("alpha") / 2, F.col("sample_size") - 1),
     ).otherwise(0.0)
-    note = F.format_string("Insufficient paired observations (%d < %d).", F.col("sample_size"), F.lit(MIN_PAIRS))
+    note = F.format_string("not tested: %d pairs, %d are needed", F.col("sample_size"), F.lit(min_pairs))
     return adjusted.withColumn("__reach", reach).select(
         *PAIR,
         F.lit(test).alias("test_name"),

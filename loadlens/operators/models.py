@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loadlens.operators import prep
 from loadlens.operators.evaluate import regression_metrics
 from loadlens.operators.features import DAY_ROWS, LAGGED_COLUMN, SMOOTHING_ROWS, add_day_lag, add_smoothed
-from loadlens.operators.ordered import RN, OrderedRows
+from loadlens.operators.ordered import RN, OrderedRows, order_rows
 from loadlens.sources.shared import shared_path, stage
 
 # Parameters and search spaces per model family
@@ -50,7 +50,6 @@ SEARCH_SPACES = {
     },
     "gradient_boosted_tree": {"max_iter": [30, 50], "max_depth": [3, 5], "step_size": [0.05, 0.1], "max_bins": [32]},
 }
-MAX_COMBINATIONS = 12
 SEARCH_SEED = 42
 FORECAST_FOREST = {"num_trees": 20, "max_depth": 10, "seed": 42}
 
@@ -98,34 +97,56 @@ def param_grid(
     space: dict[str, Sequence],
     *,
     strategy: str = "grid_search",
-    max_combinations: int = MAX_COMBINATIONS,
+    combinations: int | None = None,
     seed: int = SEARCH_SEED,
 ) -> list[dict[str, object]]:
-    """All combinations, or a seeded sample for ``random_search`` and for larger grids."""
+    """All combinations, or for ``random_search`` a seeded sample of ``combinations``.
+
+    A grid search with more than the given ``combinations`` is an error.
+    """
+    if strategy not in ("grid_search", "random_search"):
+        raise ValueError(f"unknown strategy {strategy}")
     searched = {k: v for k, v in space.items() if v}
     if not searched:
         return []
     grid = [dict(zip(searched, values)) for values in itertools.product(*searched.values())]
-    if strategy == "random_search" or len(grid) > max_combinations:
-        grid = random.Random(seed).sample(grid, min(len(grid), max_combinations))
+    if strategy == "random_search":
+        if combinations is None:
+            raise ValueError("a random search needs a number of combinations")
+        return random.Random(seed).sample(grid, min(len(grid), combinations))
+    if combinations is not None and len(grid) > combinations:
+        raise ValueError(f"{len(grid)} combinations, {combinations} are allowed")
     return grid
 
 
 @dataclass
 class TaskData:
-    """Staged vectors of one task in order: ``__rn``, time, keys, vector and label."""
+    """Staged vectors of one task in order: position, series, time, keys, vector and label.
+
+    Positions have no gaps; every series is split and folded at its own points.
+    """
 
     task: prep.Task
     rows: OrderedRows
-    train_rows: int
+    test_ratio: float = prep.TEST_RATIO
+
+    @property
+    def train_rows(self) -> int:
+        """Training rows of a table without series."""
+        return prep.train_rows(self.rows.total, self.test_ratio)
 
     @property
     def train(self) -> DataFrame:
-        return self.rows.df.where(F.col(RN) < self.train_rows)
+        return self.rows.df.where(prep.in_training(self.test_ratio))
 
     @property
     def test(self) -> DataFrame:
-        return self.rows.df.where(F.col(RN) >= self.train_rows)
+        return self.rows.df.where(~prep.in_training(self.test_ratio))
+
+    def fold_frames(self, fold: prep.Fold) -> tuple[DataFrame, DataFrame]:
+        """A fold of the training rows."""
+        kept = F.floor(F.round(F.col(prep.ROWS) * (1 - self.test_ratio), 9))
+        return prep.fold_frames(self.rows.with_df(self.train.withColumn(prep.ROWS, kept)), fold)
 
 
 def prepare_task(
@@ -136,42 +157,17 @@ def prepare_task(
     keep: Sequence[str] = (),
     test_ratio: float = prep.TEST_RATIO,
 ) -> TaskData:
-    """Complete cases of a task, assembled and staged, with the split point."""
-    projected = prep.task_projection(ordered.df, task, ts=ts, keep=[*keep, RN])
+    """Complete cases of a task, assembled, numbered again without gaps and staged."""
+    keys = list(dict.fromkeys([*ordered.series, *keep]))
+    projected = prep.task_projection(ordered.df, task, ts=ts, keep=[*keys, RN])
     complete = assembler(task.features).transform(prep.complete_cases(projected, task))
-    staged = stage(complete.select(RN, *keep, ts, FEATURES, LABEL), "task")
-    # incomplete rows leave gaps in the positions, so the split is found by position, not by count
-    cut = _position_of_share(staged, 1 - test_ratio)
-    return TaskData(task, OrderedRows(staged, ordered.total), cut)
-
-
-def _position_of_share(df: DataFrame, share: float) -> int:
-    """The position below which lie ``floor(share * rows)`` rows, exactly.
-
-    Rows are counted per block of positions; only the one block that holds the cut
-    is looked at row by row.
-    """
-    bounds = df.agg(F.count("*").alias("n"), F.max(RN).alias("last")).first()
-    if not bounds["n"]:
+    # the old position is unique and sorts by series first
+    renumbered = order_rows(complete.select(F.col(RN).alias("__old"), *keys, ts, FEATURES, LABEL), ["__old"])
+    if not renumbered.total:
         raise ValueError("no complete rows to train on")
-    wanted = prep.train_rows(bounds["n"], 1 - share)
-    low, width = 0, bounds["last"] + 1
-    while width > 1:
-        step = max(width // 1000, 1)
-        blocks = (
-            df.where((F.col(RN) >= low) & (F.col(RN) < low + width))
-            .groupBy(F.expr(f"({RN} - {low}) div {step}").alias("block"))
-            .count()
-        )
-        width = step
-        for block, rows in sorted(map(tuple, blocks.collect())):  # about 1000 counts
-            if rows > wanted:
-                low += block * step
-                break
-            wanted -= rows
-        else:
-            return bounds["last"] + 1
-    return low
+    placed = prep.series_rows(OrderedRows(renumbered.df.drop("__old"), renumbered.total, ordered.series))
+    staged = stage(placed.df.select(RN, prep.ROW, prep.ROWS, *keys, ts, FEATURES, LABEL), "task")
+    return TaskData(task, placed.with_df(staged), test_ratio)
 
 
 @dataclass
@@ -188,9 +184,14 @@ class TrainedCandidate:
     error: str | None = None
 
 
-def score(model: Model, rows: DataFrame, task: str, name: str, ts: str = "Timestamp") -> DataFrame:
-    """Predictions in the shared long form."""
+def score(
+    model: Model, rows: DataFrame, task: str, name: str, ts: str = "Timestamp", series: Sequence[str] = ()
+) -> DataFrame:
+    """Predictions in the shared long form; ``Row`` is the position, which pairs rows of equal time."""
+    numbered = [F.col(RN).alias("Row")] if RN in rows.columns else []
     return model.transform(rows).select(
+        *series,
+        *numbered,
         F.col(ts).alias("Timestamp"),
         F.col(LABEL).alias("Actual"),
         F.col("prediction").alias("Predicted"),
@@ -205,6 +206,7 @@ class TuningResult:
     parameters: dict[str, object]
     fold_scores: list[float]
     mean_score: float
+    error: str | None = None
 
 
 def tune(
@@ -220,14 +222,19 @@ def tune(
 ) -> list[TuningResult]:
     """Mean score of each parameter set over the folds, best first.
 
-    A set that fails on a fold is left out. Independent fits run side by side.
+    A set that cannot be fitted on a fold comes last, with its error; when none is left
+    that is an error. An empty ``space`` scores the settings as they are. Folds without
+    rows are an error. Independent fits run side by side.
     """
     if metric not in ("rmse", "mae", "r2"):
         raise ValueError(f"unknown metric {metric}")
-    grid = param_grid(space or SEARCH_SPACES[name], **grid_options) or [{}]
-    frames = [prep.fold_frames(data.rows, f) for f in folds]
+    grid = param_grid(SEARCH_SPACES[name] if space is None else space, **grid_options) or [{}]
+    frames = [data.fold_frames(f) for f in folds]
+    for f, pair in zip(folds, frames, strict=True):
+        if any(frame.isEmpty() for frame in pair):
+            raise ValueError(f"fold {f.number} has no rows to train or to validate on")
 
-    def evaluate(parameters: dict[str, object]) -> TuningResult | None:
+    def evaluate(parameters: dict[str, object]) -> TuningResult:
         scores = []
         for train, validation in frames:
             try:
@@ -236,23 +243,27 @@ def tune(
                     model.transform(validation), [], actual=LABEL, predicted="prediction"
                 )
                 scores.append(scored.first()[metric])
-            except Exception:  # a set that cannot be fitted is no candidate
-                return None
+            except Exception as error:  # told by the caller
+                return TuningResult(name, parameters, scores, float("nan"), f"{type(error).__name__}: {error}")
         if any(s is None for s in scores):
-            return None
+            return TuningResult(name, parameters, [], float("nan"), f"{metric} is not defined on a fold")
         return TuningResult(name, parameters, scores, sum(scores) / len(scores))
 
     session = data.rows.df.sparkSession
     with ThreadPoolExecutor(parallelism) as pool:
-        results = [r for r in pool.map(inheritable_thread_target(session)(evaluate), grid) if r is not None]
-    return sorted(results, key=lambda r: -r.mean_score if metric == "r2" else r.mean_score)
+        results = list(pool.map(inheritable_thread_target(session)(evaluate), grid))
+    scored = [r for r in results if r.error is None]
+    if not scored:
+        raise RuntimeError(f"{name}: no parameter set could be fitted, first {results[0].error}")
+    scored.sort(key=lambda r: -r.mean_score if metric == "r2" else r.mean_score)
+    return scored + [r for r in results if r.error is not None]
 
 
 def tuning_table(spark: SparkSession, task: str, results: Iterable[TuningResult]) -> DataFrame:
     """Tuning results, one row per parameter set."""
     rows = [
         (task, r.model_name, {k: str(v) for k, v in r.parameters.items()}, len(r.fold_scores), r.mean_score, i + 1)
-        for i, r in enumerate(results)
+        for i, r in enumerate(r for r in results if r.error is None)
     ]
     schema = "task string, model string, parameters map<string,string>, folds int, mean_score double, rank int"
     return spark.createDataFrame(rows, schema)
@@ -278,14 +289,16 @@ def train_candidates(
         candidates.append(candidate)
         try:
             if folds:
-                tuned = tune(data, name, folds, space=(spaces or SEARCH_SPACES)[name], settings=all_settings[name])
+                # a model that the spaces do not name is not tuned
+                space = (SEARCH_SPACES if spaces is None else spaces).get(name, {})
+                tuned = tune(data, name, folds, space=space, settings=all_settings[name]) if space else []
                 candidate.parameters = tuned[0].parameters if tuned else {}
             started = time.perf_counter()
             candidate.model = estimator(name, all_settings[name], **candidate.parameters).fit(data.train)
             candidate.training_time = time.perf_counter() - started
             path = shared_path(spark, "predictions")
             started = time.perf_counter()
-            score(candidate.model, data.test, data.task.name, name, ts).write.parquet(path)
+            score(candidate.model, data.test, data.task.name, name, ts, data.rows.series).write.parquet(path)
             candidate.prediction_time = time.perf_counter() - started
             candidate.predictions_path = path
         except Exception as error:

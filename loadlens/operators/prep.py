@@ -1,13 +1,13 @@
 """Task data sets, temporal splits and validation folds.
 
-Splits and folds are ranges of the global row position, so a fold is a filter and
-needs no sort of its own.
+Splits and folds are ranges of the row position, of the whole table or within each
+series, so a fold is a filter and needs no sort of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from loadlens.operators.ordered import RN, OrderedRows, series_position
 from loadlens.sources.shared import stage
 
+ROW, ROWS = "__row", "__rows"
+
 # Feature columns per task, in order
 TIME_FEATURES = [
     "Year", "Month", "Day", "Hour", "Minute", "DayOfWeek", "IsWeekend",
@@ -107,41 +109,46 @@ def train_rows(total: int, test_ratio: float) -> int:
     return floor(round(total * (1 - test_ratio), 9))
 
 
-def mark_split(ordered: OrderedRows, test_ratio: float = TEST_RATIO) -> DataFrame:
-    """Add ``split``: the first rows in order are ``train``, the rest ``test``.
-
-    With series keys each series is split at its own point.
-    """
-    train_rows(ordered.total, test_ratio)
+def series_rows(ordered: OrderedRows) -> OrderedRows:
+    """Add ``__row``, the position in its series, and ``__rows``, how many the series has."""
     if not ordered.series:
-        is_train = F.col(RN) < train_rows(ordered.total, test_ratio)
-        return ordered.df.withColumn("split", F.when(is_train, "train").otherwise("test"))
-    placed = series_position(ordered, "__row").df
+        both = {ROW: F.col(RN), ROWS: F.lit(ordered.total).cast("long")}
+        return ordered.with_df(ordered.df.withColumns(both))
+    placed = series_position(ordered, ROW)
     # one row per series, staged: the join is planned from its size, by broadcast if it is small
     sizes = stage(
-        ordered.df.groupBy(*[F.col(s).alias(f"__of_{s}") for s in ordered.series]).agg(
-            F.floor(F.round(F.count("*") * (1 - test_ratio), 9)).alias("__train_rows")
-        ),
+        ordered.df.groupBy(*[F.col(s).alias(f"__of_{s}") for s in ordered.series]).agg(F.count("*").alias(ROWS)),
         "sizes",
     )
     same = [F.col(s).eqNullSafe(F.col(f"__of_{s}")) for s in ordered.series]
-    joined = placed.join(sizes, same)
-    is_train = F.col("__row") < F.col("__train_rows")
-    return joined.withColumn("split", F.when(is_train, "train").otherwise("test")).drop(
-        "__row", "__train_rows", *[f"__of_{s}" for s in ordered.series]
-    )
+    return placed.with_df(placed.df.join(sizes, same).drop(*[f"__of_{s}" for s in ordered.series]))
+
+
+def in_training(test_ratio: float) -> Column:
+    """Whether a row of ``series_rows`` comes before its series' split point."""
+    train_rows(1, test_ratio)
+    return F.col(ROW) < F.floor(F.round(F.col(ROWS) * (1 - test_ratio), 9))
+
+
+def mark_split(ordered: OrderedRows, test_ratio: float = TEST_RATIO) -> DataFrame:
+    """Add ``split``: the first rows in order are ``train``, the rest ``test``.
+
+    With series keys each series is split at its own point.
+    """
+    split = F.when(in_training(test_ratio), "train").otherwise("test")
+    return series_rows(ordered).df.withColumn("split", split).drop(ROW, ROWS)
 
 
 def temporal_split(ordered: OrderedRows, test_ratio: float = TEST_RATIO) -> tuple[DataFrame, DataFrame]:
-    """Training rows and test rows of one series."""
-    cut = train_rows(ordered.total, test_ratio)
-    return ordered.df.where(F.col(RN) < cut), ordered.df.where(F.col(RN) >= cut)
+    """Training rows and test rows; each series is split at its own point."""
+    rows, train = series_rows(ordered).df, in_training(test_ratio)
+    return rows.where(train).drop(ROW, ROWS), rows.where(~train).drop(ROW, ROWS)
 
 
 def tail_holdout(ordered: OrderedRows, rows: int = HOLDOUT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """All rows before the last ``rows``, and the last ``rows``."""
-    cut = max(ordered.total - rows, 0)
-    return ordered.df.where(F.col(RN) < cut), ordered.df.where(F.col(RN) >= cut)
+    """All rows before the last ``rows`` of each series, and these."""
+    placed, held = series_rows(ordered).df, F.col(ROW) >= F.col(ROWS) - rows
+    return placed.where(~held).drop(ROW, ROWS), placed.where(held).drop(ROW, ROWS)
 
 
 def skip_head(ordered: OrderedRows, rows: int) -> DataFrame:
@@ -151,11 +158,15 @@ def skip_head(ordered: OrderedRows, rows: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Fold:
-    """Half-open position ranges of one validation fold."""
+    """Half-open ranges of one validation fold.
+
+    They count rows or, with ``slices``, that many equal slices of each series.
+    """
 
     number: int
     train: tuple[int, int]
     validation: tuple[int, int]
+    slices: int | None = None
 
 
 def cut_points(total: int, folds: int = FOLDS, *, reference_compat: bool = False) -> list[int]:
@@ -205,13 +216,33 @@ def rolling_folds(
     ]
 
 
-def _between(span: tuple[int, int]) -> Column:
-    return (F.col(RN) >= span[0]) & (F.col(RN) < span[1])
+def series_folds(strategy: str = "chronological", folds: int = FOLDS, *, width: int | None = None) -> list[Fold]:
+    """Folds that cut every series at its own points: ``chronological``, ``expanding`` or ``rolling``."""
+    if strategy == "rolling":
+        made = rolling_folds(folds, folds, width=width)
+    elif strategy in ("chronological", "expanding"):
+        made = (chronological_folds if strategy == "chronological" else expanding_folds)(folds, folds)
+    else:
+        raise ValueError(f"unknown fold strategy {strategy}")
+    return [replace(f, slices=folds) for f in made]
+
+
+def _between(span: tuple[int, int], slices: int | None) -> Column:
+    if slices is None:
+        return (F.col(RN) >= span[0]) & (F.col(RN) < span[1])
+    low, high = (F.expr(f"{ROWS} * {at} div {slices}") for at in span)
+    return (F.col(ROW) >= low) & (F.col(ROW) < high)
+
+
+def _foldable(ordered: OrderedRows, folds: Sequence[Fold]) -> DataFrame:
+    placed = all(c in ordered.df.columns for c in (ROW, ROWS)) or all(f.slices is None for f in folds)
+    return ordered.df if placed else series_rows(ordered).df
 
 
 def fold_frames(ordered: OrderedRows, fold: Fold) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows of a fold."""
-    return ordered.df.where(_between(fold.train)), ordered.df.where(_between(fold.validation))
+    df = _foldable(ordered, [fold])
+    return df.where(_between(fold.train, fold.slices)), df.where(_between(fold.validation, fold.slices))
 
 
 def mark_folds(ordered: OrderedRows, folds: Sequence[Fold]) -> DataFrame:
@@ -220,9 +251,10 @@ def mark_folds(ordered: OrderedRows, folds: Sequence[Fold]) -> DataFrame:
     for f in folds:
         number = F.lit(f.number).alias("fold")
         for role, span in (("train", f.train), ("validation", f.validation)):
-            roles.append(F.when(_between(span), F.struct(number, F.lit(role).alias("role"))))
+            roles.append(F.when(_between(span, f.slices), F.struct(number, F.lit(role).alias("role"))))
     held = F.array_compact(F.array(*roles))
-    return ordered.df.withColumn("__fold", F.explode(held)).select("*", "__fold.*").drop("__fold")
+    marked = _foldable(ordered, folds).withColumn("__fold", F.explode(held)).select("*", "__fold.*")
+    return marked.drop("__fold", ROW, ROWS)
 
 
 def cut_point_table(df: DataFrame, folds: int = FOLDS) -> DataFrame:

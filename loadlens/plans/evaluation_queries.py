@@ -66,9 +66,16 @@ def ev_paired_errors(spark, sf_dir):
     return errors(spark, sf_dir)
 
 
-@query("ev_sample_pairs")
+@query(
+    "ev_sample_pairs",
+    f"""WITH {ERRORS_SQL} SELECT * FROM errors
+WHERE substring(md5(concat_ws('|', strftime(obs_ts, '%Y-%m-%d %H:%M:%S'), CAST(event_id AS VARCHAR))), 1, 8) < '40000000'""",
+    ("pred",),
+)
 def ev_sample_pairs(spark, sf_dir):
-    return ev.sample_pairs(errors(spark, sf_dir), 5000)
+    # whole seconds are written alike by both engines
+    keyed = errors(spark, sf_dir).withColumn("__second", F.date_format("obs_ts", "yyyy-MM-dd HH:mm:ss"))
+    return ev.sample_pairs(keyed, 0.25, ["__second", "event_id"]).drop("__second")
 
 
 T_SQL = """t AS (SELECT Task, baseline_model, candidate_model, COUNT(*) AS sample_size,

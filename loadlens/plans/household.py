@@ -33,7 +33,9 @@ class Options:
     model_settings: dict[str, dict] = field(default_factory=lambda: models.SETTINGS)
     tune: bool = True
     search_spaces: dict[str, dict] = field(default_factory=lambda: models.SEARCH_SPACES)
+    fold_strategy: str = "chronological"
     folds: int = prep.FOLDS
+    fold_width: int | None = None
     test: str = "wilcoxon"
     alpha: float = evaluate.ALPHA
     correction: str = "bonferroni"
@@ -67,7 +69,7 @@ def train_and_rank(
     found: list[models.TrainedCandidate] = []
     for task in tasks.values():
         data = models.prepare_task(ordered, task, test_ratio=options.test_ratio)
-        folds = prep.chronological_folds(data.train_rows, options.folds) if options.tune else None
+        folds = prep.series_folds(options.fold_strategy, options.folds, width=options.fold_width) if options.tune else None
         found += models.train_candidates(
             data, settings=options.model_settings, folds=folds, spaces=options.search_spaces
         )
@@ -85,7 +87,7 @@ def report_tables(
     metrics = evaluate.regression_metrics(predictions)
     selected = ranking.winners(ranked).select(F.col("task_name").alias("Task"), F.col("model_name").alias("Model"))
     tested = evaluate.compare_predictors(
-        predictions, selected, test=options.test, alpha=options.alpha, correction=options.correction
+        predictions, selected, on=("Row",), test=options.test, alpha=options.alpha, correction=options.correction
     )
     return {
         "performance": chartdata.performance_table(metrics, selected),

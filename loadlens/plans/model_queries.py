@@ -17,12 +17,6 @@ from loadlens.plans.series_queries import CLEAN_METER, KEYS, ORDER, all_features
 from loadlens.sources.shared import shared_path
 
 TASKS = prep.tasks("leak_free")
-# smaller ensembles than the defaults: these queries check the flow on the whole tables
-SMALL = {
-    **ml.SETTINGS,
-    "random_forest": {**ml.SETTINGS["random_forest"], "num_trees": 10},
-    "gradient_boosted_tree": {**ml.SETTINGS["gradient_boosted_tree"], "max_iter": 5},
-}
 
 
 def task_data(spark, sf_dir, name="Sub_metering_1", ordered=None):
@@ -60,7 +54,7 @@ def ml_linreg_coef(spark, sf_dir):
 
 def _predicted(spark, sf_dir, name):
     data = task_data(spark, sf_dir)
-    model = ml.estimator(name, SMALL[name]).fit(data.train)
+    model = ml.estimator(name).fit(data.train)
     return ml.score(model, data.test, data.task.name, name, "obs_ts")
 
 
@@ -85,7 +79,26 @@ SELECT obs_ts AS Timestamp, 'intensity' AS Task, 'linear_regression' AS Model, y
 def ml_linreg_holdout(spark, sf_dir):
     data = one_feature_data(spark, sf_dir)
     model = ml.estimator("linear_regression").fit(data.train)
-    return rounded(ml.score(model, data.test, data.task.name, "linear_regression", "obs_ts"), "Predicted", digits=6)
+    made = ml.score(model, data.test, data.task.name, "linear_regression", "obs_ts").drop("Row")
+    return rounded(made, "Predicted", digits=6)
+
+
+@query(
+    "ml_linreg_holdout_by_series",
+    f"""WITH {CLEAN_METER}, numbered AS (SELECT Voltage AS x, Global_intensity AS y, obs_ts, event_id, event_id % 7 AS series_no,
+ ROW_NUMBER() OVER (PARTITION BY event_id % 7 ORDER BY obs_ts, event_id) - 1 AS rn,
+ COUNT(*) OVER (PARTITION BY event_id % 7) AS n FROM readings),
+fit AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM numbered WHERE rn < FLOOR(n*0.8))
+SELECT series_no, obs_ts AS Timestamp, 'intensity' AS Task, 'linear_regression' AS Model, y AS Actual,
+ ROUND(a + b*x, 6) AS Predicted FROM numbered CROSS JOIN fit WHERE rn >= FLOOR(n*0.8)""",
+    ("meter",),
+)
+def ml_linreg_holdout_by_series(spark, sf_dir):
+    rows = clean_meter(spark, sf_dir).select(*KEYS, "Voltage", "Global_intensity", (F.col("event_id") % 7).alias("series_no"))
+    data = ml.prepare_task(order_rows(rows, ORDER, ["series_no"]), ONE_FEATURE, ts="obs_ts")
+    model = ml.estimator("linear_regression").fit(data.train)
+    made = ml.score(model, data.test, data.task.name, "linear_regression", "obs_ts", ["series_no"]).drop("Row")
+    return rounded(made, "Predicted", digits=6)
 
 
 @query(
@@ -130,7 +143,7 @@ def ml_gbt_predict(spark, sf_dir):
 def ml_tune(spark, sf_dir):
     data = task_data(spark, sf_dir)
     folds = prep.expanding_folds(data.train_rows)
-    results = ml.tune(data, "decision_tree", folds, settings=SMALL["decision_tree"])
+    results = ml.tune(data, "decision_tree", folds, settings=ml.SETTINGS["decision_tree"])
     return ml.tuning_table(spark, data.task.name, results)
 
 
@@ -140,7 +153,7 @@ def trained(spark, sf_dir):
     shared = ordered.with_df(ml.stage(ordered.df, "features"))
     found = []
     for name in TASKS:
-        found += ml.train_candidates(task_data(spark, sf_dir, name, shared), ts="obs_ts", settings=SMALL)
+        found += ml.train_candidates(task_data(spark, sf_dir, name, shared), ts="obs_ts")
     return found
 
 
@@ -151,13 +164,13 @@ def ml_train_all(spark, sf_dir):
 
 @query("ml_predictions_long")
 def ml_predictions_long(spark, sf_dir):
-    made = ml.train_candidates(task_data(spark, sf_dir), ts="obs_ts", settings=SMALL)
+    made = ml.train_candidates(task_data(spark, sf_dir), ts="obs_ts")
     return ml.predictions_of(spark, made)
 
 
 @query("ml_feature_importance")
 def ml_feature_importance(spark, sf_dir):
-    made = ml.train_candidates(task_data(spark, sf_dir), ts="obs_ts", settings=SMALL)
+    made = ml.train_candidates(task_data(spark, sf_dir), ts="obs_ts")
     return ml.feature_importance(spark, made, TASKS)
 
 

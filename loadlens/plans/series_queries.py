@@ -416,6 +416,54 @@ def ds_tail_holdout(spark, sf_dir):
     return marked.drop(RN)
 
 
+BY_SERIES = """numbered AS (SELECT series_id, event_id, obs_ts,
+ ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY obs_ts, event_id) - 1 AS rn,
+ COUNT(*) OVER (PARTITION BY series_id) AS n FROM meter)"""
+
+
+def ordered_by_series(spark, sf_dir):
+    return order_rows(meter(spark, sf_dir).select("series_id", *KEYS), ORDER, ["series_id"])
+
+
+@query(
+    "ds_tail_holdout_by_series",
+    f"""WITH {BY_SERIES} SELECT series_id, event_id, obs_ts, CASE WHEN rn >= n - 5 THEN 'test' ELSE 'train' END AS split
+FROM numbered""",
+    ("meter",),
+)
+def ds_tail_holdout_by_series(spark, sf_dir):
+    train, test = prep.tail_holdout(ordered_by_series(spark, sf_dir), 5)
+    marked = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return marked.drop(RN)
+
+
+def _series_folds_sql(ranges: list[tuple[int, str, int, int]], slices: int) -> str:
+    picked = [
+        f"SELECT series_id, event_id, obs_ts, CAST({fold} AS INTEGER) AS fold, '{role}' AS role FROM numbered"
+        f" WHERE n*{low}//{slices} <= rn AND rn < n*{high}//{slices}"
+        for fold, role, low, high in ranges
+    ]
+    return f"WITH {BY_SERIES} " + " UNION ALL ".join(picked)
+
+
+@query(
+    "cv_expanding_by_series",
+    _series_folds_sql([(1, "train", 0, 1), (1, "validation", 1, 2), (2, "train", 0, 2), (2, "validation", 2, 3)], 3),
+    ("meter",),
+)
+def cv_expanding_by_series(spark, sf_dir):
+    return prep.mark_folds(ordered_by_series(spark, sf_dir), prep.series_folds("expanding", 3)).drop(RN)
+
+
+@query(
+    "cv_rolling_by_series",
+    _series_folds_sql([(k + 1, role, k + a, k + b) for k in range(3) for role, a, b in (("train", 0, 2), ("validation", 2, 3))], 5),
+    ("meter",),
+)
+def cv_rolling_by_series(spark, sf_dir):
+    return prep.mark_folds(ordered_by_series(spark, sf_dir), prep.series_folds("rolling", 5, width=2)).drop(RN)
+
+
 @query("src_skip_rows", f"WITH {NUMBERED} SELECT event_id, obs_ts, rn FROM numbered WHERE rn >= 1900", ("meter",))
 def src_skip_rows(spark, sf_dir):
     return prep.skip_head(ordered_keys(spark, sf_dir), 1900).withColumnRenamed(RN, "rn")

@@ -6,6 +6,7 @@ can reach, so losing an executor never repeats the work before it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -15,11 +16,11 @@ _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; local sessions without it get a temporary folder."""
+    """``spark.checkpoint.dir``; a session of one machine without it gets a temporary folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # not local-cluster
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:

@@ -49,7 +49,7 @@ def test_few_pairs_are_not_tested(spark):
     zeros = [0.0] * 29
     row = ev.compare_predictors(predictions(spark, zeros, a=noisy(1, 29, 1), b=noisy(2, 29, 9)), "a").first()
     assert (row["p_value"], row["is_significant"], row["correction_method"]) == (1.0, False, "none")
-    assert "29 < 30" in row["notes"] and row["ci_lower"] is None
+    assert row["notes"] == "not tested: 29 pairs, 30 are needed" and row["ci_lower"] is None
 
 
 @pytest.mark.parametrize("test", ["wilcoxon", "paired_t"])
@@ -122,8 +122,48 @@ def test_small_sample_uses_the_exact_distribution(spark):
     rng = random.Random(8)
     a = [rng.uniform(0, 3) for _ in range(35)]
     b = [rng.uniform(0, 2) for _ in range(35)]
-    row = ev.compare_predictors(predictions(spark, [0.0] * 35, a=a, b=b), "a").first()
+    made = predictions(spark, [0.0] * 35, a=a, b=b)
+    row = ev.compare_predictors(made, "a", method="exact").first()
     assert row["p_value"] == pytest.approx(stats.rank_sum_two_sided(row["statistic"], 35))
+    assert ev.compare_predictors(made, "a").first()["p_value"] != row["p_value"]
+    few = ev.compare_predictors(made, "a", min_pairs=36).first()
+    assert few["p_value"] == 1.0 and few["notes"] == "not tested: 35 pairs, 36 are needed"
+    with pytest.raises(ValueError, match="at most"):
+        stats.rank_sum_two_sided(5, stats.EXACT_RANK_ROWS + 1)
+
+
+@pytest.mark.parametrize("t", [1e-3, 0.5, 1.5, 3.0, 8.0])
+def test_t_tail_of_large_samples(t):
+    for df in (1e10, 1e11, 1e12, 1e13):
+        # the first correction to the normal limit is of order t^4 / df
+        assert stats.t_two_sided(t, df) == pytest.approx(stats.normal_two_sided(t), rel=max(1e-9, t**4 / df))
+    for df in (1_000, 5_000):
+        want = stats.incomplete_beta(df / 2, 0.5, df / (df + t * t))
+        assert stats._t_tails(t, df) == pytest.approx(want, rel=1e-9)
+    if t <= 3:
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        first = stats.normal_two_sided(t) + 2 * density * (t**3 + t) / 4e6
+        assert stats.t_two_sided(t, 1e6) == pytest.approx(first, rel=1e-9)
+    assert stats.t_quantile(0.0125, 1e13) == pytest.approx(2.241402727604947, rel=1e-9)
+
+
+def test_beta_function_without_convergence_raises():
+    with pytest.raises(ArithmeticError):
+        stats._beta_fraction(1e15, 1e15, 0.5)
+
+
+def test_rows_without_prediction_do_not_count(spark):
+    row = ev.regression_metrics(predictions(spark, [1.0, 2.0, 9.0], m=[1.0, 2.0, None])).first()
+    assert (row["r2"], row["num_rows"], row["rmse"]) == (1.0, 2, 0.0)
+    empty = ev.regression_metrics(predictions(spark, [1.0], m=[1.0]).where("false"), []).first()
+    assert empty["num_rows"] == 0 and empty["rmse"] is None
+
+
+def test_sampled_pairs_are_whole_rows(spark):
+    made = ev.paired_errors(predictions(spark, [0.0] * 400, a=[1.0] * 400, b=[2.0] * 400, c=[3.0] * 400), "a")
+    kept = ev.sample_pairs(made, 0.5)
+    assert 500 > kept.count() > 300 and set(r["count"] for r in kept.groupBy("Timestamp").count().collect()) == {2}
+    assert ev.sample_pairs(made, 1).count() == 800 and ev.sample_pairs(made, 0).count() == 0
 
 
 def test_histogram_matches_numpy(spark):

@@ -48,16 +48,59 @@ def test_disabled_models_are_left_out():
 def test_grids():
     sizes = {name: len(ml.param_grid(space)) for name, space in ml.SEARCH_SPACES.items()}
     assert sizes == {"linear_regression": 6, "decision_tree": 12, "random_forest": 8, "gradient_boosted_tree": 8}
-    few = ml.param_grid(ml.SEARCH_SPACES["decision_tree"], strategy="random_search", max_combinations=5)
+    few = ml.param_grid(ml.SEARCH_SPACES["decision_tree"], strategy="random_search", combinations=5)
     assert len(few) == 5
-    assert few == ml.param_grid(ml.SEARCH_SPACES["decision_tree"], strategy="random_search", max_combinations=5)
+    assert few == ml.param_grid(ml.SEARCH_SPACES["decision_tree"], strategy="random_search", combinations=5)
     assert ml.param_grid({}) == []
+    wide = {"a": list(range(5)), "b": list(range(5))}
+    assert len(ml.param_grid(wide)) == 25
+    with pytest.raises(ValueError, match="25 combinations"):
+        ml.param_grid(wide, combinations=12)
+    with pytest.raises(ValueError, match="needs a number"):
+        ml.param_grid(wide, strategy="random_search")
+
+
+def test_series_are_split_and_folded_at_their_own_points(spark):
+    df = spark.range(60).select(
+        F.when(F.col("id") < 20, "a").otherwise("b").alias("meter"),
+        F.timestamp_seconds(F.col("id") * 60).alias("Timestamp"),
+        F.when(F.col("id") < 10, None).otherwise(F.col("id").cast("double")).alias("a"),
+        (F.col("id") % 5).cast("double").alias("b"),
+        F.col("id").cast("double").alias("y"),
+    )
+    made = ml.prepare_task(order_rows(df, ["Timestamp"], ["meter"]), TASK)
+    assert made.rows.total == 50  # ten rows of the first meter lack a feature
+    counts = {r["meter"]: r["count"] for r in made.test.groupBy("meter").count().collect()}
+    assert counts == {"a": 2, "b": 8}
+    for fold, (train, validation) in zip((1, 2), ((2, 3), (5, 3)), strict=True):
+        frames = made.fold_frames(prep.series_folds("expanding", 3)[fold - 1])
+        assert tuple(f.where("meter = 'a'").count() for f in frames) == (train, validation)
+    scored = ml.score(ml.estimator("linear_regression").fit(made.train), made.test, "t", "m", series=["meter"])
+    assert scored.columns[:2] == ["meter", "Row"] and scored.select("Row").distinct().count() == 10
+
+
+def test_gaps_leave_no_empty_fold_and_empty_spaces_do_not_tune(spark):
+    df = spark.range(120).select(
+        F.timestamp_seconds(F.col("id") * 60).alias("Timestamp"),
+        F.when(F.col("id") < 60, None).otherwise(F.col("id").cast("double")).alias("a"),
+        (F.col("id") % 5).cast("double").alias("b"), F.col("id").cast("double").alias("y"),
+    )
+    made = ml.prepare_task(order_rows(df, ["Timestamp"]), TASK)
+    frames = [made.fold_frames(f) for f in prep.series_folds("expanding", 3)]
+    assert [[f.count() for f in pair] for pair in frames] == [[16, 16], [32, 16]]
+    (only,) = ml.tune(made, "linear_regression", prep.series_folds("expanding", 3), space={})
+    assert only.parameters == {} and len(only.fold_scores) == 2
 
 
 def test_tuning_drops_sets_that_fail(data):
     folds = prep.expanding_folds(data.train_rows, 3)
     results = ml.tune(data, "decision_tree", folds, space={"max_depth": [1, 4, 99]}, settings={"seed": 42})
-    assert [r.parameters["max_depth"] for r in results] == [4, 1]
+    assert [r.parameters["max_depth"] for r in results] == [4, 1, 99]
+    assert [r.error is None for r in results] == [True, True, False]
+    with pytest.raises(RuntimeError, match="no parameter set"):
+        ml.tune(data, "decision_tree", folds, space={"max_depth": [99]})
+    with pytest.raises(ValueError, match="no rows"):
+        ml.tune(data, "decision_tree", [prep.Fold(1, (0, 0), (0, 9))])
     best = ml.tune(data, "decision_tree", folds, space={"max_depth": [1, 4]}, settings={"seed": 42}, metric="r2")
     assert best[0].parameters == {"max_depth": 4} and len(best[0].fold_scores) == 2
 
