@@ -87,21 +87,16 @@ def seasonal_energy(
 def energy_tables(df: DataFrame, *, ts: str = "Timestamp", series: list[str] | None = None) -> dict[str, DataFrame]:
     """Hourly, daily, weekly, monthly and seasonal energy from one pass over the readings.
 
-    Hours nest in all longer periods, so those are sums over the staged hourly table.
+    Quarters of an hour nest in all longer periods and in the months of every time zone, so
+    those are sums over one staged table of quarters.
     """
-    hourly = stage(windowed_energy(df, DURATIONS["hourly"], ts=ts, series=series), "hourly")
-    # hourly energy adds up like power read once an hour
-    hours = hourly.withColumnsRenamed({f"Energy_{c}": c for c in POWER_COLUMNS} | {"Window_Start": ts})
-    made = {
-        name: windowed_energy(hours, span, ts=ts, series=series, per_hour=1.0)
-        for name, span in DURATIONS.items()
-        if name != "hourly"
-    }
+    quarters = stage(windowed_energy(df, "15 minutes", ts=ts, series=series), "quarters")
+    # energy adds up like power read once an hour
+    parts = quarters.withColumnsRenamed({f"Energy_{c}": c for c in POWER_COLUMNS} | {"Window_Start": ts})
     return {
-        "hourly": hourly,
-        **made,
-        "monthly": monthly_energy(hours, ts=ts, series=series, per_hour=1.0),
-        "seasonal": seasonal_energy(hours, ts=ts, series=series, per_hour=1.0),
+        **{name: windowed_energy(parts, span, ts=ts, series=series, per_hour=1.0) for name, span in DURATIONS.items()},
+        "monthly": monthly_energy(parts, ts=ts, series=series, per_hour=1.0),
+        "seasonal": seasonal_energy(parts, ts=ts, series=series, per_hour=1.0),
     }
 
 

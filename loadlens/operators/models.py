@@ -365,6 +365,50 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+MODEL_RECORD = (
+    "version string, task string, model string, is_selected boolean, target string, features array<string>,"
+    " parameters map<string,string>, training_time double, path string"
+)
+
+
+def save_models(
+    spark: SparkSession, candidates: Sequence[TrainedCandidate], tasks: dict[str, prep.Task], base: str, version: str,
+    selected: dict[str, str], *, overwrite: bool = False,
+) -> DataFrame:
+    """Keep every fitted candidate with its assembler, and a table of what they are.
+
+    Models lie in ``<base>/<version>/<task>/<model>``; ``selected`` names the winner of each
+    task. A version that is there is an error unless ``overwrite``.
+    """
+    records = []
+    for c in candidates:
+        if c.model is None:
+            continue
+        task = tasks[c.task]
+        path = save_model(PipelineModel([assembler(task.features), c.model]), f"{base}/{version}/{c.task}/{c.model_name}", overwrite=overwrite)
+        parameters = {k: str(v) for k, v in c.parameters.items()}
+        records.append((
+            version, c.task, c.model_name, selected.get(c.task) == c.model_name, task.target, list(task.features),
+            parameters, c.training_time, path,
+        ))
+    table = spark.createDataFrame(records, MODEL_RECORD)
+    table.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{base}/{version}/records")
+    return table
+
+
+def model_records(spark: SparkSession, base: str, version: str) -> DataFrame:
+    """The table of the models of a version."""
+    return spark.read.parquet(f"{base}/{version}/records")
+
+
+def load_selected(spark: SparkSession, base: str, version: str, task: str) -> PipelineModel:
+    """The winner of a task; none is an error."""
+    found = model_records(spark, base, version).where((F.col("task") == task) & F.col("is_selected")).first()
+    if found is None:
+        raise ValueError(f"no selected model of {task} in version {version}")
+    return load_model(found["path"])
+
+
 def forecast_tail(
     ordered: OrderedRows,
     *,

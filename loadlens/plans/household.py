@@ -15,7 +15,7 @@ from loadlens.functions.calendar import text_timestamp
 from loadlens.operators import chartdata, clean, energy, evaluate, features, models, prep, quality, ranking
 from loadlens.operators.ordered import OrderedRows, order_rows
 from loadlens.sources import experiments, readings, tables
-from loadlens.sources.shared import stage
+from loadlens.sources.shared import stage, staging
 
 
 @dataclass
@@ -41,10 +41,14 @@ class Options:
     correction: str = "bonferroni"
 
 
-def read_valid(spark: SparkSession, path: str, options: Options) -> DataFrame:
-    """Text readings; raises when a check of the validation report fails."""
+def read_valid(spark: SparkSession, path: str, options: Options, report_path: str | None = None) -> DataFrame:
+    """Text readings; raises when a check of the validation report fails, which is kept at ``report_path``."""
     raw = readings.read_readings(spark, path, delimiter=options.delimiter, missing=options.missing)
-    quality.require_valid(quality.validation_report(raw, max_null_percentage=options.max_null_percentage))
+    report = quality.validation_report(raw, max_null_percentage=options.max_null_percentage)
+    if report_path:
+        report = stage(report, "validation")
+        tables.save_flat_report(report, report_path)
+    quality.require_valid(report)
     return raw
 
 
@@ -62,9 +66,12 @@ def cleaned(raw: DataFrame, options: Options) -> OrderedRows:
 
 
 def train_and_rank(
-    spark: SparkSession, ordered: OrderedRows, experiment_id: str, options: Options
+    spark: SparkSession, ordered: OrderedRows, experiment_id: str, options: Options, models_path: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Ranked candidates, failed candidates, predictions and importances of all tasks."""
+    """Ranked candidates, failed candidates, predictions and importances of all tasks.
+
+    All fitted models are kept below ``models_path``.
+    """
     tasks = prep.tasks(options.feature_set)
     found: list[models.TrainedCandidate] = []
     for task in tasks.values():
@@ -76,6 +83,10 @@ def train_and_rank(
     at = {"experiment_id": F.lit(experiment_id), "timestamp": F.current_timestamp()}
     metrics = models.candidate_metrics(spark, found).withColumns(at)
     ranked = stage(ranking.rank_candidates(metrics, options.profile), "ranked")
+    if models_path:
+        # one row per task
+        selected = {r["task_name"]: r["model_name"] for r in ranking.winners(ranked).select("task_name", "model_name").collect()}
+        models.save_models(spark, found, tasks, models_path, experiment_id, selected, overwrite=True)
     failed = models.failed_candidates(spark, found).withColumn("experiment_id", F.lit(experiment_id))
     return ranked, failed, models.predictions_of(spark, found), models.feature_importance(spark, found, tasks)
 
@@ -102,16 +113,26 @@ def report_tables(
 def run(
     spark: SparkSession, path: str, out: str, experiment_id: str, options: Options | None = None
 ) -> dict[str, str]:
-    """Run every step and return the paths of what was written."""
-    options = options or Options()
-    ordered = cleaned(read_valid(spark, path, options), options)
-    written = {"energy": f"{out}/energy"}
+    """Run every step and return the paths of what was written; nothing stays in the shared folder."""
+    with staging(spark):
+        return _run(spark, path, out, experiment_id, options or Options())
+
+
+def _run(spark: SparkSession, path: str, out: str, experiment_id: str, options: Options) -> dict[str, str]:
+    written = {"energy": f"{out}/energy", "validation": f"{out}/report/validation", "models": f"{out}/models"}
+    ordered = cleaned(read_valid(spark, path, options, written["validation"]), options)
+    written["dataset"] = f"{out}/report/dataset"
+    tables.save_flat_report(quality.dataset_summary(ordered.df, clean.READING_COLUMNS), written["dataset"])
     tables.save_aggregates(energy.energy_tables(ordered.df), written["energy"])
     made = features.add_features(ordered)
     written["features"] = tables.save_features(made.df, f"{out}/features", overwrite=True)
     # later steps read the saved features instead of computing them again
     stored = made.with_df(tables.load_features(spark, f"{out}/features"))
-    ranked, failed, predicted, importances = train_and_rank(spark, stored, experiment_id, options)
+    ranked, failed, predicted, importances = train_and_rank(
+        spark, stored, experiment_id, options, written["models"]
+    )
+    written["importances"] = f"{out}/importances/{experiment_id}"
+    importances.write.mode("overwrite").parquet(written["importances"])
     written["predictions"] = tables.save_predictions(predicted, f"{out}/predictions", experiment_id, overwrite=True)
     written["candidates"] = f"{out}/candidates/{experiment_id}"
     experiments.save_candidates(ranking.with_failed(ranked, failed), written["candidates"])

@@ -57,12 +57,15 @@ def experiment_records(ranked: DataFrame, failed: DataFrame | None = None) -> Da
 
 
 def append_records(records: DataFrame, path: str) -> None:
-    """Append experiment records, one partition per task."""
-    records.write.mode("append").partitionBy("task_name").parquet(path)
+    """Write experiment records, one partition per task and experiment; a rerun replaces its own."""
+    # marked, so that an id of digits is not read as a number
+    marked = records.withColumn("__experiment", F.concat(F.lit("x_"), "experiment_id"))
+    writer = marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("task_name", "__experiment").parquet(path)
 
 
 def load_records(spark: SparkSession, path: str, task: str | None = None) -> DataFrame:
-    found = spark.read.parquet(path)
+    found = spark.read.parquet(path).drop("__experiment")
     return found if task is None else found.where(F.col("task_name") == task)
 
 

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_scope: ContextVar[str] = ContextVar("staging_scope", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _run_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/loadlens/{spark.sparkContext.applicationId}"
+    return f"{shared_dir(spark)}/loadlens/{spark.sparkContext.applicationId}{_scope.get()}"
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -45,7 +49,18 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """A scope whose staged tables are deleted at its end; results must be written within it."""
+    token = _scope.set(f"{_scope.get()}/run-{uuid4().hex}")
+    try:
+        yield
+    finally:
+        drop_staged(spark)
+        _scope.reset(token)
+
+
 def drop_staged(spark: SparkSession) -> bool:
-    """Delete all staged tables of this application, once their results are written."""
+    """Delete all staged tables of the present scope, or of the application outside any."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

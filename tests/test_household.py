@@ -7,7 +7,8 @@ from loadlens.operators import models
 from loadlens.operators.quality import ValidationError
 from loadlens.plans import household
 from loadlens.plans.table_queries import raw_file
-from loadlens.sources import experiments, tables
+from loadlens.sources import experiments, shared, tables
+from loadlens.sources.shared import stage
 
 SF_DIR = "/root/testdata/sf0.001"
 QUICK = {
@@ -22,6 +23,8 @@ def test_run(spark, tmp_path):
     options = household.Options(model_settings=QUICK, tune=False, feature_set="leak_free")
     out = str(tmp_path / "out")
     written = household.run(spark, raw_file(spark, SF_DIR), out, "exp1", options)
+    left = os.path.join(shared.shared_dir(spark).removeprefix("file://"), "loadlens", spark.sparkContext.applicationId)
+    assert not [name for name in os.listdir(left) if name.startswith("run-")]
     assert {"energy", "features", "predictions", "candidates", "experiments", "performance", "statistics"} <= set(written)
     hourly = tables.load_aggregate(spark, written["energy"], "hourly")
     assert hourly.count() > 0 and "Carbon_Emission_kgCO2" in hourly.columns
@@ -33,6 +36,24 @@ def test_run(spark, tmp_path):
     assert record["selected_model"] in QUICK and record["failed_candidates"][0]["model_name"] == "random_forest"
     predicted = tables.load_predictions(spark, f"{out}/predictions", version="exp1")
     assert predicted.groupBy("Task", "Model").count().count() == 8
+    records = models.model_records(spark, written["models"], "exp1")
+    assert records.count() == 8 and records.where("is_selected").count() == 4
+    winner = models.load_selected(spark, written["models"], "exp1", "Sub_metering_1")
+    features = tables.load_features(spark, f"{out}/features")
+    again = winner.transform(features).select("Timestamp", "prediction").join(
+        predicted.where(F.col("Task") == "Sub_metering_1").join(
+            records.where("is_selected").select(F.col("task").alias("Task"), F.col("model").alias("Model")), ["Task", "Model"]
+        ), "Timestamp",
+    )
+    assert again.count() and again.where("abs(prediction - Predicted) > 1e-9").count() == 0
+    with pytest.raises(ValueError, match="no selected model"):
+        models.load_selected(spark, written["models"], "exp1", "nothing")
+    assert spark.read.option("header", True).csv(written["validation"] + "/csv").where("status = 'FAIL'").count() == 0
+    assert spark.read.parquet(written["importances"]).count() > 0
+    # an experiment that runs again replaces its record
+    records = experiments.load_records(spark, written["experiments"])
+    experiments.append_records(stage(records, "again"), written["experiments"])
+    assert experiments.load_records(spark, written["experiments"]).count() == 4
     tests = spark.read.option("header", True).csv(written["statistics"] + "/csv")
     assert tests.count() == 4 and tests.where(F.col("p_value") == "N/A").count() == 0
 
