@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 Ranks = dict[bytes, int]
 
-MAX_STATES = 150_000
+MAX_STATES = 300_000
 MAX_CACHED_PIECES = 800_000
 BLOCK_PIECES = 65_536
 
