@@ -1,7 +1,7 @@
 """Byte-level BPE by a lazily determinised finite-state transducer.
 
 The merges are compiled into a transducer over bytes. A state is the last token
-emitted and the bytes read since; it is built when first reached. A prefix of the
+emitted and the bytes read since; it is built when it is reached again. A prefix of the
 input has one encoding, whose last token is the longest one ending there that is
 compatible with the encoding before it. A token may still start at a position only
 while the bytes from there on are the beginning of some vocabulary entry, so what
@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 
 Ranks = dict[bytes, int]
 
-MAX_STATES = 300_000
-MAX_CACHED_PIECES = 800_000
+MAX_STATES = 80_000
+MAX_CACHED_PIECES = 300_000
+SHORT_PIECE = 256  # bytes that may wait for the end of a piece; longer ones move from state to state
 BLOCK_PIECES = 65_536
 
 
@@ -72,6 +73,7 @@ class State:
     live: tuple[tuple[int, dict], ...]
     flush: tuple[int, ...] = ()
     moves: dict[int, tuple[State, tuple[int, ...]]] = field(default_factory=dict)
+    missed: bool = False
 
 
 _BYTES = [bytes((b,)) for b in range(256)]
@@ -156,8 +158,9 @@ class MergeTransducer:
     def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """The state after ``byte`` and the tokens that are now final."""
         if len(self.states) > self.max_states:
+            for old in self.states.values():
+                old.moves.clear()  # states refer to each other; without that they go at once
             self._reset()
-            gc.collect()  # states refer to each other
         last, token, begin, live = state.last, None, 0, []
         for at, node in state.live:  # the longest token first
             node = node.get(byte)
@@ -203,11 +206,53 @@ class MergeTransducer:
         found = state.moves[byte] = following, tuple(emitted)
         return found
 
+    def rest(self, state: State, tail: bytes) -> list[int]:
+        """The tokens after ``state`` of a piece that ends with ``tail``, storing nothing.
+
+        The same recursion as ``move``, kept until the end of the tail.
+        """
+        last, back, live, known = list(state.last), list(state.back), state.live, self._fits
+        for byte in tail:
+            token, begin, following = None, 0, []
+            for at, node in live:
+                node = node.get(byte)
+                if node is None:
+                    continue
+                if token is None and _RANK in node:
+                    rank = node[_RANK]
+                    fits = known.get((last[at], rank))
+                    if self.fits(last[at], rank) if fits is None else fits:
+                        token, begin = rank, at
+                if len(node) > (_RANK in node):
+                    following.append((at, node))
+            if token is None:
+                raise ValueError(f"byte {byte} is not in the vocabulary")
+            following.append((len(last), self.trie))
+            last.append(token)
+            back.append(begin)
+            live = following
+        tokens, at = [], len(last) - 1
+        while at:
+            tokens.append(last[at])
+            at = back[at]
+        tokens.reverse()
+        return tokens
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        state, out = self.start, []
-        for byte in piece:
+        """Tokens of a piece. A state that has no move for a byte for the second time gets it."""
+        state, out, short = self.start, [], len(piece) <= SHORT_PIECE
+        for at, byte in enumerate(piece):
             found = state.moves.get(byte)
-            state, emitted = found if found is not None else self.move(state, byte)
+            if found is None:
+                if short and not state.missed:
+                    state.missed = True
+                    return (*out, *self.rest(state, piece[at:]))
+                state, emitted = self.move(state, byte)
+                out += emitted
+                if short:
+                    return (*out, *self.rest(state, piece[at + 1 :]))
+                continue
+            state, emitted = found
             if emitted:
                 out += emitted
         return (*out, *state.flush)
@@ -316,7 +361,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(sent.value, pattern)
-        # the collector would walk all states and pieces again and again, and free none
+        # the collector would walk all states and pieces again and again, and free nothing
         gc.disable()
         try:
             yield from encode_all(tokenizer, batches)
