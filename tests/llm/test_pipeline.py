@@ -9,7 +9,7 @@ from tests.llm.cases import AWKWARD
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
-    """Labels and a benchmark; good texts are prose, bad ones symbols."""
+    """Labels and a benchmark; bad texts differ from good ones by a symbol in every word."""
     folder = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame([(i, int(i < 200), 0) for i in range(100, 300)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     item = " ".join(f"item{k}" for k in range(20))
@@ -18,8 +18,8 @@ def tables(spark, tmp_path_factory):
 
 
 def _rows():
-    good = [(i, " ".join(f"plain{i}x{k}" for k in range(30)), "en", 1) for i in range(100, 200)]
-    bad = [(i, " ".join(f"{i}$$ %% {k}##" for k in range(20)), "en", 1) for i in range(200, 300)]
+    good = [(i, " ".join(f"plain{i}x{k:02d}a" for k in range(30)), "en", 1) for i in range(100, 200)]
+    bad = [(i, " ".join(f"plain{i}x{k:02d}$" for k in range(30)), "en", 1) for i in range(200, 300)]
     item = " ".join(f"item{k}" for k in range(20))
     passage = " ".join(f"shared{k}" for k in range(60))
     copy = good[0][1].split()
