@@ -2,7 +2,7 @@
 
 A document window of as many words as an item is a match if the weighted Jaccard
 similarity of their word shingles (the smaller over the larger of the counts, summed) is
-``threshold`` or more.
+``threshold`` or more. Letter case does not count: documents and items are compared in lower case.
 
 1. Only windows that could match are fingerprinted. Of windows of equal size, similarity
    ``t`` means that at least ``2t / (1 + t)`` of the shingles are the item's own, so a
@@ -21,7 +21,8 @@ a deviation of 3, so the default of 23 leaves out fewer than one such pair in 10
 
 Edge cases: null texts and texts without words match nothing; an item or document with
 fewer words than a shingle is one shingle; items with equal texts match each, and the
-texts of one id are searched each; rows equal in id and text count once; null ids are an id of their own; extra columns are
+texts of one id are searched each; rows equal in id and text count once, items also if their
+texts differ in letter case only; null ids are an id of their own; extra columns are
 ignored.
 """
 
@@ -41,8 +42,8 @@ _EACH_LANE = 0x0001000100010001
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text; letter case counts."""
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words of a text in lower case."""
+    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def shingles_of(words: Column, size: int = SHINGLE) -> Column:
@@ -76,11 +77,11 @@ def _shingle_hash(words: list[Column]) -> Column:
 
 
 def item_rows(benchmark: DataFrame, key: str = "item_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """Items with words: ``item``, ``item_hash`` of the text, number of ``words`` and the ``shingles``."""
+    """Items with words: ``item``, ``item_hash`` of the text in lower case, number of ``words`` and the ``shingles``."""
     words = words_of(F.col(text))
     return (
         benchmark.where(F.col(text).isNotNull())
-        .select(F.col(key).alias("item"), F.xxhash64(text).alias("item_hash"), words.alias("w"))
+        .select(F.col(key).alias("item"), F.xxhash64(F.lower(text)).alias("item_hash"), words.alias("w"))
         .where("size(w) > 0")
         .dropDuplicates(["item", "item_hash"])
         .select("item", "item_hash", F.size("w").alias("words"), shingles_of(F.col("w"), size).alias("shingles"))

@@ -86,3 +86,20 @@ def test_awkward_rows(spark, docs):
     assert decontam.matches(docs(AWKWARD).where("false"), benchmark).count() == 0
     assert decontam.matches(docs(AWKWARD), benchmark.where("false")).count() == 0
     assert decontam.drop_contaminated(docs(AWKWARD), benchmark.where("false")).count() == len(AWKWARD)
+
+
+def test_letter_case_does_not_hide_an_item(spark, docs):
+    lower = " ".join(f"item{k} caf\u00e9" for k in range(10))
+    mixed = " ".join(w.capitalize() if k % 3 else w for k, w in enumerate(lower.split()))
+    around = "Own Words before {} and OTHER words after it"
+    rows = [(k, around.format(t)) for k, t in enumerate((lower, lower.upper(), mixed, "no item"))]
+    for item in (lower, lower.upper(), mixed):
+        # the last two are one text of one id
+        benchmark = spark.createDataFrame([(1, "something else"), (2, item), (2, item.swapcase())], "item_id long, text string")
+        found = decontam.matches(docs(rows), benchmark).collect()
+        assert {(r["doc_id"], r["item_id"], r["similarity"], r["start_word"]) for r in found} == {(k, 2, 1.0, 3) for k in range(3)}
+        assert len({r["n_windows"] for r in found}) == 1
+        kept = {r["doc_id"]: r["text"] for r in decontam.drop_contaminated(docs(rows), benchmark).collect()}
+        assert kept == {3: rows[3][1]}
+    once = spark.createDataFrame([(2, lower)], "item_id long, text string")
+    assert {r["n_windows"] for r in decontam.matches(docs(rows), once).collect()} == {r["n_windows"] for r in found}

@@ -63,3 +63,11 @@ def test_stages_take_awkward_and_empty_tables(spark, docs, tables, number):
     _, work = pipeline.STAGES[number]
     assert work(spark, frame, tables).count() <= len(AWKWARD)
     assert work(spark, frame.where("false"), tables).count() == 0
+
+
+def test_an_item_in_another_letter_case_is_dropped(spark, tables):
+    item = " ".join(f"ITEM{k}" for k in range(20))
+    rows = [(1, f"Some words before {item} and some after it here"), (2, "Nothing of the benchmark stands in this text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(pipeline.STAGES)["decontamination"](spark, docs, tables).collect()
+    assert [tuple(r) for r in kept] == [rows[1]]
