@@ -5,9 +5,8 @@ space and its bytes, any chain of pieces that spells it is a segmentation, and i
 probability is the sum over all chains, by the forward recursion in log space over the
 lattice of pieces. Pieces never cross words, so a text's probability is the product over
 its words, times that of the end. Piece probabilities start from the order of the
-vocabulary and are estimated by expectation-maximisation over the words of the training
-texts, weighted by their counts: ``FIRST_STEPS`` steps over the ``HEAD`` most frequent
-words to start from, then one over all words, which alone makes the result.
+vocabulary and are estimated by ``STEPS`` steps of expectation-maximisation, each over all
+words of the training texts, weighted by their counts.
 
 Word counts are gathered from all training texts. Scoring needs the count of every word:
 the ``HEAD`` most frequent words are broadcast, all others are joined by word.
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from loadlens.sources.shared import stage
 
 HEAD = 1 << 17
-FIRST_STEPS = 2
+STEPS = 3
 FLUSH_WORDS = 200_000
 _END = -1  # a trie node's own log-probability, beside the bytes that go on
 _LN10 = log(10)
@@ -295,22 +294,19 @@ def score(
     Only texts where ``learn_from`` holds are learned from. ``base_score`` is of words with
     add-one counts, ``score`` the log10 marginal probability over all segmentations.
     """
-    spark = documents.sparkSession
     training = documents.where(learn_from)
     counts = stage(word_counts(training, text), "word-counts")
     ends = training.count()
     row = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, total = row[0] + (ends > 0), row[1] + ends
     whole = all_pieces(pieces)
-    first = stage(counts.orderBy(F.desc("n"), "word").limit(head), "head-words")
     log_probs = first_log_probs(len(whole))
-    for _ in range(FIRST_STEPS):
-        log_probs, _used = estimate(first.repartition(spark.sparkContext.defaultParallelism), whole, log_probs)
-    log_probs, used = estimate(counts, whole, log_probs)
+    for _ in range(STEPS):
+        log_probs, used = estimate(counts, whole, log_probs)
     # the end is one more piece, used once in a text
     share = ends / (used + ends) if ends else 0.5
     log_probs = log_probs + log(1 - share)
-    top = first.collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
     scorer = Scorer(whole, log_probs, log(share), {bytes(r["word"]): r["n"] for r in top})
     del top
     rows = stage(_doc_rows(documents, scorer, list(keep), text).withColumn("__row", F.monotonically_increasing_id()), "scored")

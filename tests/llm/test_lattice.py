@@ -77,3 +77,21 @@ def test_awkward_rows_and_no_training(spark, docs):
     untrained = lattice.score(frame, F.lit(False), PIECES, keep=("doc_id",)).collect()
     assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in untrained} == {(0, 0, 0.0)}
     assert lattice.score(frame.where("false"), F.lit(True), PIECES).count() == 0
+
+
+def test_every_step_learns_from_all_words(spark, docs):
+    texts = ["ab ab ab ab a a a", "abc bca cab", "bcbc abab", "ca cb"]
+    rows = docs(list(enumerate(texts)))
+    by_hand, used = lattice.first_log_probs(len(PIECES)), None
+    words = Counter(w for t in texts for w in t.encode().split())
+    for _ in range(3):
+        model, used = lattice.Lattice(PIECES, by_hand), np.zeros(len(PIECES))
+        for word, n in words.items():
+            model.expected(word, n, used)
+        by_hand = np.log((used + 0.01) / (used.sum() + 0.01 * len(PIECES)))
+    end = len(texts) / (used.sum() + len(texts))
+    model = lattice.Lattice(PIECES, by_hand + np.log(1 - end))
+    want = {k: (sum(model.log_prob(w) for w in t.encode().split()) + np.log(end)) / np.log(10) for k, t in enumerate(texts)}
+    for head in (1, 100):
+        found = lattice.score(rows, F.lit(True), PIECES, keep=("doc_id",), head=head).collect()
+        assert len(found) == len(texts) and all(isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in found)
