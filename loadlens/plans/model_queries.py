@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.operators import chartdata as ch
@@ -19,9 +22,12 @@ from loadlens.sources.shared import shared_path
 TASKS = prep.tasks("leak_free")
 
 
-def task_data(spark, sf_dir, name="Sub_metering_1", ordered=None):
-    rows = ordered or all_features(spark, sf_dir)
-    return ml.prepare_task(rows, TASKS[name], ts="obs_ts", keep=["event_id"])
+def task_data(spark, sf_dir):
+    """Vectors of one task after the other, from the same staged features."""
+    ordered = all_features(spark, sf_dir)
+    shared = ordered.with_df(ml.stage(ordered.df, "features"))
+    for task in TASKS.values():
+        yield ml.prepare_task(shared, task, ts="obs_ts", keep=["event_id"])
 
 
 @query(
@@ -53,9 +59,12 @@ def ml_linreg_coef(spark, sf_dir):
 
 
 def _predicted(spark, sf_dir, name):
-    data = task_data(spark, sf_dir)
-    model = ml.estimator(name).fit(data.train)
-    return ml.score(model, data.test, data.task.name, name, "obs_ts")
+    """Predictions of one model for the test rows of every task."""
+    made = [
+        ml.score(ml.estimator(name).fit(data.train), data.test, data.task.name, name, "obs_ts")
+        for data in task_data(spark, sf_dir)
+    ]
+    return reduce(DataFrame.unionByName, made)
 
 
 ONE_FEATURE = prep.Task("intensity", "Global_intensity", ("Voltage",))
@@ -141,37 +150,37 @@ def ml_gbt_predict(spark, sf_dir):
 
 @query("ml_tune")
 def ml_tune(spark, sf_dir):
-    data = task_data(spark, sf_dir)
-    folds = prep.expanding_folds(data.train_rows)
-    results = ml.tune(data, "decision_tree", folds, settings=ml.SETTINGS["decision_tree"])
-    return ml.tuning_table(spark, data.task.name, results)
+    tables = []
+    for data in task_data(spark, sf_dir):
+        folds = prep.expanding_folds(data.train_rows)
+        for name in ml.candidate_models():
+            results = ml.tune(data, name, folds, settings=ml.SETTINGS[name])
+            tables.append(ml.tuning_table(spark, data.task.name, results))
+    return reduce(DataFrame.unionByName, tables)
 
 
-def trained(spark, sf_dir):
-    """All tasks and models, trained on the same staged features."""
-    ordered = all_features(spark, sf_dir)
-    shared = ordered.with_df(ml.stage(ordered.df, "features"))
+def trained(spark, sf_dir, *, tuned=False):
+    """All tasks and models, with ``tuned`` at the best parameters over the folds of their training rows."""
     found = []
-    for name in TASKS:
-        found += ml.train_candidates(task_data(spark, sf_dir, name, shared), ts="obs_ts")
+    for data in task_data(spark, sf_dir):
+        folds = prep.expanding_folds(data.train_rows) if tuned else None
+        found += ml.train_candidates(data, ts="obs_ts", folds=folds)
     return found
 
 
 @query("ml_train_all")
 def ml_train_all(spark, sf_dir):
-    return rank_candidates(ml.candidate_metrics(spark, trained(spark, sf_dir)))
+    return rank_candidates(ml.candidate_metrics(spark, trained(spark, sf_dir, tuned=True)))
 
 
 @query("ml_predictions_long")
 def ml_predictions_long(spark, sf_dir):
-    made = ml.train_candidates(task_data(spark, sf_dir), ts="obs_ts")
-    return ml.predictions_of(spark, made)
+    return ml.predictions_of(spark, trained(spark, sf_dir))
 
 
 @query("ml_feature_importance")
 def ml_feature_importance(spark, sf_dir):
-    made = ml.train_candidates(task_data(spark, sf_dir), ts="obs_ts")
-    return ml.feature_importance(spark, made, TASKS)
+    return ml.feature_importance(spark, trained(spark, sf_dir), TASKS)
 
 
 @query("ml_model_roundtrip")
