@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm import bpe, decontam, langid, lattice, linedup, neardup, pii, rules, sharding, warc
+from loadlens.llm import bpe, decontam, langid, lattice, linedup, neardup, pii, rules, sharding, variants, warc
 from loadlens.llm.common import crc_mod, table
 from loadlens.sources.shared import stage
 
@@ -154,6 +154,56 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, form and root."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH crc AS (
+    -- the table of crc32 by its rule: eight steps from each byte
+    SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM (SELECT unnest(range(0, 256)) AS i)
+), r AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+    FROM documents
+), d AS (
+    SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL
+), b AS (
+    SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x:
+        CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)]::BIGINT[] END)) AS bytes
+    FROM d
+), h AS (
+    SELECT run, n, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(
+        list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) END AS h
+    FROM b, crc
+), v AS (
+    SELECT CASE WHEN h % 31 = 0 THEN run[:(h % length(run))::BIGINT] || run[(h % length(run))::BIGINT + 2:] ELSE run END AS word, sum(n)::BIGINT AS n
+    FROM h GROUP BY 1 HAVING sum(n) >= 2 AND length(word) >= 7
+), cut AS (
+    -- every word without one code point, and whole
+    SELECT word, n, k, CASE WHEN k = 0 THEN word ELSE word[:k - 1] || word[k + 1:] END AS rest
+    FROM (SELECT word, n, unnest(range(0, length(word) + 1)) AS k FROM v)
+), near AS (
+    SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest
+    WHERE a.word <> b.word AND (a.k = b.k AND a.k > 0 OR a.k = 0 AND b.k > 0 OR a.k > 0 AND b.k = 0)
+), best AS (
+    SELECT word, n, count(*) AS n_near, max(near_n) AS most, arg_min(near, (-near_n, near)) AS near FROM near GROUP BY word, n
+), f AS (
+    SELECT v.word, CASE WHEN most >= 10 * v.n THEN near END AS form, v.n, coalesce(n_near, 0)::BIGINT AS n_near,
+           CASE WHEN most >= 10 * v.n THEN most END AS form_n
+    FROM v LEFT JOIN best ON v.word = best.word
+), chain AS (
+    WITH RECURSIVE c(word, root) AS (
+        SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL
+    )
+    SELECT c.word, c.root FROM c JOIN f ON f.word = c.root WHERE f.form IS NULL
+)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN chain ON f.word = chain.word
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_language_id": op2_language_id,
@@ -165,5 +215,10 @@ QUERIES: dict[str, Query] = {
     "op8_lattice_lm": op8_lattice_lm,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_personal_data": op10_personal_data,
+    "op11_spelling_variants": op11_spelling_variants,
+}
+ORACLES: dict[str, str] = {
+    "op1_warc_chunks": OP1_SQL,
+    "op7_line_dedup": OP7_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }
-ORACLES: dict[str, str] = {"op1_warc_chunks": OP1_SQL, "op7_line_dedup": OP7_SQL}
