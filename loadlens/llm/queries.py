@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm import bpe, decontam, langid, lattice, linedup, neardup, pii, rules, sharding, variants, warc
+from loadlens.llm import bpe, collocations, decontam, langid, lattice, linedup, neardup, pii, rules, sharding, variants, warc
 from loadlens.llm.common import crc_mod, table
 from loadlens.sources.shared import stage
 
@@ -204,6 +204,45 @@ SELECT f.word, form, root, n, n_near, form_n FROM f JOIN chain ON f.word = chain
 """
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), w AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), totals AS (
+    SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), places AS (
+    SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k
+), g AS (
+    SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100
+), candidates AS (
+    SELECT *, string_split(phrase, ' ') AS ws FROM g WHERE k >= 2
+), inside AS (
+    SELECT DISTINCT a.lang, a.phrase FROM candidates a JOIN candidates b ON a.lang = b.lang AND b.k > a.k AND 100 * b.f >= 100 * a.f
+        AND contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ')
+), cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, n, cut, ((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+    JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[:cut], ' ')
+    JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut + 1:], ' ')
+    JOIN totals t ON t.lang = c.lang
+), scored AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS weakest FROM cuts
+), ranked AS (
+    SELECT s.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM scored s ANTI JOIN inside i ON s.lang = i.lang AND s.phrase = i.phrase WHERE weakest = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_language_id": op2_language_id,
@@ -216,9 +255,11 @@ QUERIES: dict[str, Query] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_personal_data": op10_personal_data,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 ORACLES: dict[str, str] = {
     "op1_warc_chunks": OP1_SQL,
     "op7_line_dedup": OP7_SQL,
     "op11_spelling_variants": OP11_SQL,
+    "op12_phrase_collocations": OP12_SQL,
 }

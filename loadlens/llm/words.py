@@ -19,9 +19,9 @@ def among(characters: bytes) -> np.ndarray:
 _SPACE = among(b" \t\n\x0b\x0c\r")
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every run of bytes that are no ASCII white space."""
-    solid = np.concatenate(([False], ~_SPACE[data], [False]))
+def word_spans(data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes that are no ``space``, by default ASCII white space."""
+    solid = np.concatenate(([False], ~space[data], [False]))
     edges = np.flatnonzero(solid[1:] != solid[:-1])
     return edges[::2], edges[1::2]
 
@@ -51,8 +51,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
+_BYTES = 1 << 21  # bytes whose running sum is held at once
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every span, from one running sum over the bytes."""
+    """A 64-bit hash of every span, from one running sum over the bytes.
+
+    A hash does not depend on where the span stands, so long texts are taken in parts.
+    """
+    if len(data) > _BYTES and len(starts) > 1:
+        out = np.empty(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):
+            end = max(at + 1, int(np.searchsorted(ends, starts[at] + _BYTES, "right")))
+            first = starts[at]
+            out[at:end] = span_hashes(data[first : ends[end - 1]], starts[at:end] - first, ends[at:end] - first)
+            at = end
+        return out
     up, down = _powers(len(data))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[data] * up[: len(data)], dtype=np.uint64)))
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
