@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm import bpe, collocations, decontam, langid, lattice, linedup, neardup, pii, rules, sharding, variants, warc
+from loadlens.llm import bpe, collocations, decontam, langid, lattice, linedup, neardup, ngramjoin, pii, rules, sharding, variants, warc
 from loadlens.llm.common import crc_mod, table
 from loadlens.sources.shared import stage
 
@@ -243,6 +243,42 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are 0.9 alike."""
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def _components_sql(percent: int) -> str:
+    """Components by all pairs of documents that share a three-word shingle."""
+    return rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(ws) > 0 THEN list_distinct(list_transform(
+        range(1, greatest(len(ws) - 2, 1) + 1), lambda i: array_to_string(ws[i:i + 2], ' '))) ELSE [] END AS shingles
+    FROM w
+), e AS (
+    SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), reach AS (
+    SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+    SELECT a, min(b) AS b FROM reach GROUP BY a
+), c AS (
+    SELECT doc_id, coalesce(len(shingles), 0)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id
+    FROM s LEFT JOIN least ON a = doc_id
+)
+"""
+
+
+OP5_SQL = _components_sql(85) + "SELECT doc_id, n_shingles, component_id, component_id = doc_id AS kept FROM c"
+OP13_SQL = _components_sql(90) + "SELECT doc_id, n_shingles, component_id FROM c"
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_language_id": op2_language_id,
@@ -256,10 +292,13 @@ QUERIES: dict[str, Query] = {
     "op10_personal_data": op10_personal_data,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 ORACLES: dict[str, str] = {
     "op1_warc_chunks": OP1_SQL,
+    "op5_minhash_near_dup": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op11_spelling_variants": OP11_SQL,
     "op12_phrase_collocations": OP12_SQL,
+    "op13_ngram_jaccard": OP13_SQL,
 }
