@@ -35,7 +35,7 @@ from loadlens.sources.shared import stage
 HEAD, BITS = 1 << 18, 26
 #: side of a tile as a power of two; pairs that make it dense
 SIDE, DENSE = 10, 1 << 17
-_PAIRS, _WORDS = 1 << 21, 300_000  # pairs and distinct words that a task holds at once
+_PAIRS, _WORDS = 1 << 21, 150_000  # pairs and distinct words that a task holds at once
 _BLOCK = 1 << 20  # bytes of text that are taken at once
 _CUTS = b".,;:!?\n\x0b\x0c\r"
 _CUT = among(_CUTS)
@@ -236,44 +236,68 @@ def codes_of(level: DataFrame) -> Codes:
     return Codes(h[order], marks["slot"].to_numpy().astype(np.int64), marks["bits"].to_numpy().view(np.uint64))
 
 
-def count_tiles(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of numbers and their counts: dense tiles by bincount, the others sorted."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    ranked = (first < HEAD) & (second < HEAD)
-    a, b = first[ranked], second[ranked]
-    mask = (1 << SIDE) - 1
-    width = -(-HEAD >> SIDE)
-    tile = (a >> SIDE) * width + (b >> SIDE)
-    filled = np.bincount(tile, minlength=0)
+_CELL = (1 << SIDE) - 1
+_TILES_WIDE = -(-HEAD >> SIDE)
+
+
+def packed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Pairs of ranks as one number: the tile, then the cell in it."""
+    tile = (first >> SIDE) * _TILES_WIDE + (second >> SIDE)
+    return (tile << (2 * SIDE)) | ((first & _CELL) << SIDE) | (second & _CELL)
+
+
+def unpacked(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    tile = pairs >> (2 * SIDE)
+    return (tile // _TILES_WIDE << SIDE) | (pairs >> SIDE & _CELL), (tile % _TILES_WIDE << SIDE) | (pairs & _CELL)
+
+
+def count_tiles(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct packed pairs and their counts: dense tiles by bincount, the others sorted."""
+    tile = (pairs >> (2 * SIDE)).astype(np.int32)
+    filled = np.bincount(tile)
+    out = []
     for t in np.flatnonzero(filled >= DENSE):
-        own = tile == t
-        cells = np.bincount(((a[own] & mask) << SIDE) | (b[own] & mask), minlength=1 << (2 * SIDE))
-        at = np.flatnonzero(cells)
-        out.append(((at >> SIDE) + ((t // width) << SIDE), (at & mask) + ((t % width) << SIDE), cells[at]))
-    thin = filled[tile] < DENSE if len(tile) else np.empty(0, bool)
-    pair, n = np.unique((a[thin] << 31) | b[thin], return_counts=True)
-    out.append((pair >> 31, pair & (2**31 - 1), n))
-    a, b = first[~ranked], second[~ranked]
-    if len(a):
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        out.append((a[starts], b[starts], np.diff(np.concatenate((starts, [len(a)])))))
+        cells = np.bincount(pairs[tile == t] & ((1 << (2 * SIDE)) - 1), minlength=1 << (2 * SIDE))
+        some = np.flatnonzero(cells)
+        out.append((some + (int(t) << (2 * SIDE)), cells[some]))
+    thin = pairs[filled[tile] < DENSE]
+    thin.sort()
+    out.append(_sorted_counts(thin))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _sorted_counts(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))[: len(pairs)])
+    return pairs[starts], np.diff(np.concatenate((starts, [len(pairs)])))
+
+
+def count_others(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and their counts, where one is no rank."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
+    return a[starts], b[starts], np.diff(np.concatenate((starts, [len(a)])))
+
+
 def count_pairs(rows: DataFrame, length: int, codes: Codes) -> DataFrame:
     """``a``, ``b`` and count ``f`` of neighbouring sequences of ``length`` words that are both marked."""
     sent = rows.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sent.value.tables()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
+        others: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def counted() -> pa.RecordBatch:
-            a, b, n = count_tiles(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "f"])
+        def counted() -> Iterator[pa.RecordBatch]:
+            pairs, n = count_tiles(np.concatenate(held))
+            held.clear()
+            for k in range(0, len(pairs), 100_000):
+                a, b = unpacked(pairs[k : k + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n[k : k + 100_000])], ["a", "b", "f"])
+            a, b, n = count_others(*(np.concatenate(x) for x in zip(*others, strict=True)))
+            others.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "f"])
 
         for _, words in _blocks(batches, length):
             h, there = words.sequences(length)
@@ -282,13 +306,16 @@ def count_pairs(rows: DataFrame, length: int, codes: Codes) -> DataFrame:
             number = np.full(len(h), -1, np.int64)
             number[there] = Codes.number(h[there], tables)
             both = (number[:-1] >= 0) & (number[1:] >= 0) & words.next[: len(h) - 1]
-            held.append((number[:-1][both], number[1:][both]))
-            size += len(held[-1][0])
+            a, b = number[:-1][both], number[1:][both]
+            ranked = (a < HEAD) & (b < HEAD)
+            held.append(packed(a[ranked], b[ranked]))
+            others.append((a[~ranked], b[~ranked]))
+            size += len(a)
             if size >= _PAIRS:
-                yield counted()
-                held, size = [], 0
+                yield from counted()
+                size = 0
         if size:
-            yield counted()
+            yield from counted()
 
     return rows.mapInArrow(run, "a long, b long, f long").groupBy("a", "b").agg(F.sum("f").alias("f"))
 

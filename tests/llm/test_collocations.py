@@ -74,13 +74,16 @@ def test_tiles_count_every_pair(monkeypatch):
     r = np.random.default_rng(2)
     for dense in (1, 50, 1 << 17):
         monkeypatch.setattr(collocations, "DENSE", dense)
-        monkeypatch.setattr(collocations, "SIDE", 3)
-        first = np.minimum(r.integers(0, 60, 4000), r.integers(0, 60, 4000))
-        second = np.minimum(r.integers(0, 60, 4000), r.integers(0, 60, 4000))
-        first[::9] += 2**62  # beyond the head
-        a, b, n = collocations.count_tiles(first, second)
+        first, second = (np.minimum(r.integers(0, 5000, 4000), r.integers(0, 5000, 4000)) for _ in range(2))
+        first[::2], second[::3] = first[::2] % 30, second[::3] % 40
+        pairs, n = collocations.count_tiles(collocations.packed(first, second))
+        a, b = collocations.unpacked(pairs)
         expected = Counter(zip(first.tolist(), second.tolist(), strict=True))
         assert dict(zip(zip(a.tolist(), b.tolist(), strict=True), n.tolist(), strict=True)) == expected
+        a, b, n = collocations.count_others(first + 2**62, second)
+        assert dict(zip(zip((a - 2**62).tolist(), b.tolist(), strict=True), n.tolist(), strict=True)) == expected
+    none = np.empty(0, np.int64)
+    assert not len(collocations.count_tiles(none)[0]) and not len(collocations.count_others(none, none)[0])
 
 
 @pytest.mark.parametrize("overlap", [0, 1, 4])
