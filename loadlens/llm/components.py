@@ -21,8 +21,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         )
     else:  # the smaller neighbours only
         both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    smallest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    joined = both.join(smallest, "u")
+    # a second key, so that the join has exchanges of its own and a node of very many edges can be split
+    apart = F.xxhash64("u").alias("h")
+    smallest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).select("u", "m", apart)
+    joined = both.select("u", "v", apart).join(smallest, ["u", "h"])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

@@ -7,7 +7,7 @@ pair shares none with a probability below one in a million.
 
 Documents with equal sets are one class, and only classes are compared. Pairs within a
 bucket are not listed: every member is compared with the bucket's hub, the class with
-the smallest document. Jaccard distance is a metric, so with distance ``x`` to the hub
+the smallest number. Jaccard distance is a metric, so with distance ``x`` to the hub
 
 * members within the wanted distance of the hub are in one component already, and
 * two others can be linked only if their ``x`` differ by that distance at the most.
@@ -18,7 +18,8 @@ bins. All pairs of a tile are compared exactly, by one matrix product, and a spa
 forest of the links leaves the task. So every pair that shares a bucket is linked,
 refuted, or tied through a component, on full sets.
 
-Shingles are 64-bit hashes of word sequences; a set's name is 128 bits of its sums.
+Shingles are 64-bit hashes of word sequences; a set's name is 128 bits of its sums, and a
+class's number 64 bits of that.
 
 Edge cases: texts that are null or have no word have no shingles, are linked with nothing
 and keep their own id; a row with a null id is linked with nothing and has no component;
@@ -187,35 +188,35 @@ def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def links(documents: DataFrame, prints: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """Edges (``a``, ``b``) between set names whose components are those of all links."""
+def links(documents: DataFrame, classes: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """Edges (``a``, ``b``) between class numbers whose components are those of all links.
+
+    ``classes`` has ``cls``, the class's number, its ``set``, smallest ``doc_id`` and ``bands``.
+    """
     far = 1 - percent / 100
-    classes = stage(
-        prints.where("`set` IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands")),
-        "set-classes",
-    )
-    buckets = classes.select("set", "doc_id", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # two numbers to a row, as there is a row for every band of every class
+    buckets = classes.select("cls", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub < last")
+    # always by exchange: how many buckets are shared grows with the input
     members = stage(
-        buckets.join(shared.select("bucket", "hub"), "bucket").select("hub", "set", "doc_id").distinct(), "hub-members"
+        buckets.join(shared.select("bucket", "hub").hint("merge"), "bucket").select("hub", "cls").distinct(), "hub-members"
     )
-    sets = stage(_sets_of(documents, members.select("doc_id", "set"), size, key, text), "sets")
-    with_sets = members.join(sets, "set")
-    # a document id that several texts share may stand for several sets: the hub is one of them
-    hubs = with_sets.where("doc_id = hub").groupBy("hub").agg(F.min("set").alias("hub_set"))
-    hubs = hubs.join(sets.select(F.col("set").alias("hub_set"), F.col("shingles").alias("hub_shingles")), "hub_set")
+    wanted = stage(members.select("cls").distinct().join(classes.select("cls", "set", "doc_id"), "cls"), "hub-classes")
+    sets = stage(
+        _sets_of(documents, wanted.select("doc_id", "set"), size, key, text).join(wanted.select("set", "cls"), "set").select("cls", "shingles"),
+        "sets",
+    )
+    hubs = sets.select(F.col("cls").alias("hub"), F.col("shingles").alias("hub_shingles"))
     inter = F.size(F.array_intersect("shingles", "hub_shingles"))
     union = F.size("shingles") + F.size("hub_shingles") - inter
     compared = stage(
-        with_sets.join(hubs, "hub")
-        .where(F.col("set") != F.col("hub_set"))
-        .select(
-            "hub", "hub_set", "set", F.size("shingles").alias("n"),
+        members.where("cls <> hub").join(sets, "cls").join(hubs, "hub").select(
+            "hub", "cls", F.size("shingles").alias("n"),
             (100 * inter >= percent * union).alias("linked"), (1 - inter / union).alias("x"),
         ),
         "hub-distances",
     )
-    by_hub = compared.where("linked").select(F.col("set").alias("a"), F.col("hub_set").alias("b"))
+    by_hub = compared.where("linked").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
     # bin 0 is linked with the hub; the others are cut by distance
     binned = compared.withColumn(
         "bin", F.when(F.col("linked"), 0).otherwise(F.greatest(F.lit(1), F.ceil(F.col("x") / far - 1e-9).cast("int") - 1))
@@ -244,24 +245,22 @@ def links(documents: DataFrame, prints: DataFrame, size: int, percent: int, key:
     )
     dealt = (
         binned.join(sizes, "hub")
-        .withColumn("own", F.pmod(F.xxhash64("set"), F.element_at("blocks", F.col("bin"))).cast("int"))
-        .select("hub", "set", F.explode(tiles).alias("t"))
-        .select("hub", "set", "t.low", "t.i", "t.high", "t.j")
+        .withColumn("own", F.pmod(F.xxhash64("cls"), F.element_at("blocks", F.col("bin"))).cast("int"))
+        .select("hub", "cls", F.explode(tiles).alias("t"))
+        .select("hub", "cls", "t.low", "t.i", "t.high", "t.j")
     )
     tile = ["hub", "low", "i", "high", "j"]
     # a tile needs two members
     wanted = dealt.groupBy(*tile).count().where("count > 1").drop("count")
-    rows = dealt.join(wanted, tile).join(sets, "set")
+    rows = dealt.join(wanted, tile).join(sets, "cls")
 
     def compare(rows: pa.Table) -> pa.Table:
-        names = rows["set"].to_pylist()
+        numbers = rows["cls"].to_numpy()
         found = [x.values.to_numpy().view(np.uint64) for chunk in rows["shingles"].chunks for x in chunk]
-        pairs = spanning_forest(linked_pairs(found, percent))
-        return pa.table({
-            "a": pa.array([names[i] for i, _ in pairs], pa.binary()), "b": pa.array([names[j] for _, j in pairs], pa.binary())
-        })
+        pairs = np.array(spanning_forest(linked_pairs(found, percent)), np.int64).reshape(-1, 2)
+        return pa.table({"a": numbers[pairs[:, 0]], "b": numbers[pairs[:, 1]]})
 
-    rest = rows.select(*tile, "set", "shingles").groupBy(*tile).applyInArrow(compare, "a binary, b binary")
+    rest = rows.select(*tile, "cls", "shingles").groupBy(*tile).applyInArrow(compare, "a long, b long")
     return by_hub.unionByName(rest)
 
 
@@ -271,10 +270,18 @@ def components(
 ) -> DataFrame:
     """``doc_id``, ``hash`` of the text, ``n_shingles`` and ``component_id`` (null if it has no links) for every row."""
     prints = stage(fingerprints(documents, size, bands, rows, key, text), "set-fingerprints")
-    roots = connected(links(documents, prints, size, percent, key, text))
-    classes = prints.where("`set` IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("first"))
+    classes = stage(
+        prints.where("`set` IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy("set")
+        .agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
+        .select("set", F.xxhash64("set").alias("cls"), "doc_id", "bands"),
+        "set-classes",
+    )
+    roots = connected(links(documents, classes, size, percent, key, text))
     rooted = stage(
-        classes.join(roots, F.col("set") == F.col("node"), "left").select("set", "first", F.coalesce("root", "set").alias("root")),
+        classes.join(roots, F.col("cls") == F.col("node"), "left").select(
+            "set", F.col("doc_id").alias("first"), F.coalesce("root", "cls").alias("root")
+        ),
         "rooted-classes",
     )
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
