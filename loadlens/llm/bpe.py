@@ -25,13 +25,15 @@ from dataclasses import dataclass, field
 from itertools import chain, islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 Ranks = dict[bytes, int]
 
-MAX_STATES = 80_000
-MAX_CACHED_PIECES = 300_000
+#: a worker's tables; with the vocabulary they take about 250 MB when full
+MAX_STATES = 40_000
+MAX_CACHED_PIECES = 150_000
 SHORT_PIECE = 256  # bytes that may wait for the end of a piece; longer ones move from state to state
 BLOCK_PIECES = 65_536
 
@@ -91,7 +93,7 @@ class MergeTransducer:
                 node = node.setdefault(byte, {})
             node[_RANK] = rank
         self.max_states = max_states
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int]] = {}
         self._reset()
 
@@ -119,7 +121,7 @@ class MergeTransducer:
 
         Going down from the border, the merge across it that comes first decides.
         """
-        known = self._fits.get((left, right))
+        known = self._fits.get(left << 24 | right)
         if known is not None:
             return known
         if len(self._fits) > 4 * self.max_states:
@@ -152,7 +154,7 @@ class MergeTransducer:
                     if down == a:
                         break
                     a = down
-        self._fits[left, right] = good
+        self._fits[left << 24 | right] = good
         return good
 
     def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
@@ -168,7 +170,7 @@ class MergeTransducer:
                 continue
             if token is None and _RANK in node:
                 rank = node[_RANK]
-                fits = self._fits.get((last[at], rank))
+                fits = self._fits.get(last[at] << 24 | rank)
                 if self.fits(last[at], rank) if fits is None else fits:
                     token, begin = rank, at
             if len(node) > (_RANK in node):
@@ -220,7 +222,7 @@ class MergeTransducer:
                     continue
                 if token is None and _RANK in node:
                     rank = node[_RANK]
-                    fits = known.get((last[at], rank))
+                    fits = known.get(last[at] << 24 | rank)
                     if self.fits(last[at], rank) if fits is None else fits:
                         token, begin = rank, at
                 if len(node) > (_RANK in node):
@@ -342,6 +344,21 @@ def tokenizer_of(data: bytes, pattern: str) -> Tokenizer:
     return _made[key]
 
 
+_BATCH_BYTES = 1 << 21  # of text whose ids are held at once; a longer text is a batch of its own
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch by the bytes of its last column, the text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
+    begin = held = 0
+    for at, size in enumerate(sizes):
+        if at > begin and (held + size > _BATCH_BYTES or at - begin == 1000):
+            yield batch.slice(begin, at - begin)
+            begin, held = at, 0
+        held += size
+    yield batch.slice(begin)
+
+
 def encode_documents(
     documents: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True
 ) -> DataFrame:
@@ -362,17 +379,18 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(sent.value, pattern)
         # the collector would walk all states and pieces again and again, and free nothing
+        collecting = gc.isenabled()
         gc.disable()
         try:
             yield from encode_all(tokenizer, batches)
         finally:
-            gc.enable()
+            if collecting:
+                gc.enable()
 
     def encode_all(tokenizer: Tokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = tokenizer.names
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for batch in _slices(whole):
                 counts, id_hashes, text_hashes, lists = [], [], [], []
                 for text in batch.column(batch.num_columns - 1):
                     text = text.as_py() or ""

@@ -16,7 +16,6 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,7 +57,7 @@ def count_text(text: bytes) -> tuple[int, ...]:
     if not len(data):
         return (0,) * len(COUNTS)
     starts, ends = word_spans(data)
-    continuation = np.concatenate(([0], np.cumsum((data & 0xC0) == 0x80)))
+    continuation = np.concatenate((np.zeros(1, np.int32), np.cumsum((data & 0xC0) == 0x80, dtype=np.int32)))
     inside = int((ends - starts).sum() - (continuation[ends] - continuation[starts]).sum())
     tally = np.bincount(data, minlength=256)
     lines = [line for line in text.split(b"\n") if line.strip(b" \t\n\x0b\x0c\r")]
@@ -93,20 +92,16 @@ def count_text(text: bytes) -> tuple[int, ...]:
 
 
 def statistics(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and the counts of every text."""
-    rows = documents.select(*keep, F.col(text).cast("binary").alias("__text"))
-    kinds = "".join(f"`{name}` {kind}, " for name, kind in rows.dtypes[:-1])
+    """The columns ``keep`` and the counts of every text; only texts go to Python, once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = np.array(
-                [count_text(v.as_py() or b"") for v in batch.column(batch.num_columns - 1)], np.int64
-            ).reshape(-1, len(COUNTS))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            columns += [pa.array(np.ascontiguousarray(counts[:, i])) for i in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *COUNTS])
+    def count(texts: pa.Array) -> pa.Array:
+        counts = np.array([count_text(v.as_py() or b"") for v in texts], np.int64).reshape(-1, len(COUNTS))
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in counts.T], list(COUNTS))
 
-    return rows.mapInArrow(run, kinds + ", ".join(f"{c} long" for c in COUNTS))
+    # not to be repeated in a filter on the counts
+    counted = F.arrow_udf(count, ", ".join(f"{c} long" for c in COUNTS)).asNondeterministic()
+    rows = documents.select(*keep, counted(F.col(text).cast("binary")).alias("__counts"))
+    return rows.select(*keep, *[F.col(f"__counts.{c}").alias(c) for c in COUNTS])
 
 
 #: What rules compare: SQL over the counts. Rates are per word or per byte, so that length alone decides little.
@@ -225,7 +220,14 @@ def _cut_points(value: np.ndarray, bad: np.ndarray, cuts: int) -> np.ndarray:
 def pick_labels(labels: DataFrame, key: str = "doc_id", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``__key`` and ``quality`` (0 for bad) of at most ``max_labelled`` labelled rows, by the hash of the key."""
     known = labels.where("quality IS NOT NULL").select(F.col(key).alias("__key"), "quality")
-    return known.orderBy(F.xxhash64("__key"), "__key", "quality").limit(max_labelled)
+    # what may be among the first, by counts of the hashes' leading bits, so that no task sorts more than that
+    lead = F.shiftright(F.xxhash64("__key"), 48)
+    last, taken = None, 0
+    for row in sorted(known.groupBy(lead.alias("lead")).count().collect()):
+        last, taken = row["lead"], taken + row["count"]
+        if taken >= max_labelled:
+            break
+    return known.where(lead <= last).orderBy(F.xxhash64("__key"), "__key", "quality").limit(max_labelled)
 
 
 def learn(counts: DataFrame, picked: DataFrame, key: str = "doc_id", max_labelled: int = MAX_LABELLED) -> list[Rule]:
@@ -234,10 +236,11 @@ def learn(counts: DataFrame, picked: DataFrame, key: str = "doc_id", max_labelle
         counts.join(F.broadcast(picked), F.col(key) == F.col("__key"))
         .select(
             "quality",
+            F.xxhash64("__key").alias("__hash"),
             F.pmod(F.xxhash64("__key", F.lit("part")), F.lit(1 << 20)).alias("__part"),
             *[F.expr(sql).alias(name) for name, sql in FEATURES.items()],
         )
-        .orderBy(*FEATURES, "quality", "__part")
+        .orderBy("__hash", *FEATURES, "quality", "__part")
         .limit(max_labelled)
         .toArrow()
     )

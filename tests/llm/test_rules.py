@@ -63,3 +63,28 @@ def test_list_becomes_one_ordered_conditional(spark, docs):
     assert all(r["kept"] == (r["doc_id"] < 100) for r in kept)
     assert rules.learn(counts, rules.pick_labels(labels.where("false"))) == []
     assert counts.select(rules.verdict([]).alias("k")).where("k").count() == len(rows)
+
+
+def test_repeated_labelled_ids_do_not_push_out_others(spark, docs):
+    # the bound takes rows by their id's hash, not by what they count
+    rows = [(i, "plain words in a row here " * (1 + i % 9)) for i in range(40)] * 2
+    counts = rules.statistics(docs(rows))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    picked = rules.pick_labels(labels, max_labelled=10)
+    assert picked.count() == 10
+    ids = {r["__key"] for r in picked.collect()}
+    hashes = {r["doc_id"]: r["h"] for r in labels.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    assert ids == set(sorted(hashes, key=hashes.get)[:10])
+    seen = []
+
+    def covering(values, bad, keys):
+        seen.append(sorted(values["words"].tolist()))
+        return []
+
+    original, rules.sequential_covering = rules.sequential_covering, covering
+    try:
+        rules.learn(counts, picked, max_labelled=12)
+    finally:
+        rules.sequential_covering = original
+    first = sorted(ids, key=hashes.get)[:6]
+    assert seen == [sorted(6.0 * (1 + i % 9) for i in first for _ in range(2))]
