@@ -10,9 +10,10 @@ from __future__ import annotations
 import itertools
 import random
 import time
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -21,7 +22,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.operators import prep
+from loadlens.operators import gram, prep, trees
 from loadlens.operators.evaluate import regression_metrics
 from loadlens.operators.features import DAY_ROWS, LAGGED_COLUMN, SMOOTHING_ROWS, add_day_lag, add_smoothed
 from loadlens.operators.ordered import RN, OrderedRows, order_rows
@@ -143,10 +144,15 @@ class TaskData:
     def test(self) -> DataFrame:
         return self.rows.df.where(~prep.in_training(self.test_ratio))
 
+    @property
+    def training_rows(self) -> OrderedRows:
+        """The training rows, with their number in each series."""
+        kept = F.floor(F.round(F.col(prep.ROWS) * (1 - self.test_ratio), 9))
+        return self.rows.with_df(self.train.withColumn(prep.ROWS, kept))
+
     def fold_frames(self, fold: prep.Fold) -> tuple[DataFrame, DataFrame]:
         """A fold of the training rows."""
-        kept = F.floor(F.round(F.col(prep.ROWS) * (1 - self.test_ratio), 9))
-        return prep.fold_frames(self.rows.with_df(self.train.withColumn(prep.ROWS, kept)), fold)
+        return prep.fold_frames(self.training_rows, fold)
 
 
 def prepare_task(
@@ -209,6 +215,76 @@ class TuningResult:
     error: str | None = None
 
 
+#: parameters whose smaller values are held in a fit with a larger one: trees of a model, depth of a tree
+NESTED = {
+    "decision_tree": (None, "max_depth"),
+    "random_forest": ("num_trees", "max_depth"),
+    "gradient_boosted_tree": ("max_iter", None),
+}
+#: parameters that sums of products answer
+_LINEAR = {"reg_param", "elastic_net_param", "standardization", "max_iter"}
+
+
+def nested_sets(name: str, grid: Sequence[dict[str, object]]) -> list[tuple[dict[str, object], list[int]]]:
+    """Parameter sets that one fit answers: what to fit, and the numbers of the sets in ``grid``."""
+    inner = [p for p in NESTED.get(name, ()) if p]
+    groups: dict[str, list[int]] = {}
+    for k, parameters in enumerate(grid):
+        rest = {p: v for p, v in parameters.items() if p not in inner}
+        held = sorted(p for p in parameters if p in inner)
+        groups.setdefault(repr((sorted(rest.items(), key=lambda x: x[0]), held)), []).append(k)
+    out = []
+    for numbers in groups.values():
+        widest = dict(grid[numbers[0]])
+        for p in inner:
+            if p in widest:
+                widest[p] = max(grid[k][p] for k in numbers)
+        out.append((widest, numbers))
+    return out
+
+
+def _fold_sums(data: TaskData, folds: Sequence[prep.Fold]) -> list[tuple[gram.Gram, gram.Gram]]:
+    """Sums of the training and validation rows of every fold, from one pass over the rows."""
+    kinds = {f.slices for f in folds}
+    found: dict[object, tuple[list[int], dict[object, gram.Gram]]] = {}
+    for slices in kinds:
+        own = [f for f in folds if f.slices == slices]
+        cuts = sorted({at for f in own for span in (f.train, f.validation) for at in span})
+        found[slices] = cuts, gram.grams(data.training_rows.df, prep.slice_of(cuts, slices))
+
+    def total(fold: prep.Fold, span: tuple[int, int]) -> gram.Gram | None:
+        cuts, sums = found[fold.slices]
+        parts = [sums[k] for k in range(1, len(cuts)) if span[0] <= cuts[k - 1] and cuts[k] <= span[1] and k in sums]
+        return reduce(lambda a, b: a + b, parts) if parts else None
+
+    out = []
+    for f in folds:
+        pair = total(f, f.train), total(f, f.validation)
+        if pair[0] is None or pair[1] is None:
+            raise ValueError(f"fold {f.number} has no rows to train or to validate on")
+        out.append(pair)
+    return out
+
+
+def _tune_linear(
+    data: TaskData, folds: Sequence[prep.Fold], grid: Sequence[dict[str, object]], settings: dict, metric: str
+) -> list[TuningResult]:
+    """Every penalty on every fold from sums: no fit reads a row."""
+    sums = _fold_sums(data, folds)
+    results = []
+    for parameters in grid:
+        given = {k: v for k, v in {**settings, **parameters}.items() if k in _LINEAR - {"max_iter"}}
+        scores = [validation.errors(*train.fit(**given))[metric] for train, validation in sums]
+        results.append(_tuned("linear_regression", parameters, scores, metric))
+    return results
+
+
+def _tuned(name: str, parameters: dict[str, object], scores: list[float | None], metric: str) -> TuningResult:
+    if any(s is None for s in scores):
+        return TuningResult(name, parameters, [], float("nan"), f"{metric} is not defined on a fold")
+    return TuningResult(name, parameters, scores, sum(scores) / len(scores))
+
+
 def tune(
     data: TaskData,
     name: str,
@@ -224,39 +300,90 @@ def tune(
 
     A set that cannot be fitted on a fold comes last, with its error; when none is left
     that is an error. An empty ``space`` scores the settings as they are. Folds without
-    rows are an error. Independent fits run side by side.
+    rows are an error.
+
+    Linear models are solved from one pass over the rows, unless ``mae`` is wanted. Of
+    trees, forests and boosted models the largest is fitted, and its prefixes stand for
+    the smaller ones: for trees and boosting these are the models that Spark would fit,
+    a smaller forest is one of the same kind from the same seed. Independent fits run side by side.
     """
     if metric not in ("rmse", "mae", "r2"):
         raise ValueError(f"unknown metric {metric}")
     grid = param_grid(SEARCH_SPACES[name] if space is None else space, **grid_options) or [{}]
+    given = SETTINGS[name] if settings is None else settings
+    if name == "linear_regression" and metric != "mae" and {*given, *grid[0]} - {"enabled"} <= _LINEAR:
+        results = _tune_linear(data, folds, grid, given, metric)
+    else:
+        results = _tune_by_fits(data, name, folds, grid, settings, metric, parallelism)
+    scored = [r for r in results if r.error is None]
+    if not scored:
+        raise RuntimeError(f"{name}: no parameter set could be fitted, first {results[0].error}")
+    scored.sort(key=lambda r: -r.mean_score if metric == "r2" else r.mean_score)
+    return scored + [r for r in results if r.error is not None]
+
+
+def _tune_by_fits(
+    data: TaskData, name: str, folds: Sequence[prep.Fold], grid: Sequence[dict[str, object]], settings: dict | None,
+    metric: str, parallelism: int,
+) -> list[TuningResult]:
+    session = data.rows.df.sparkSession
     frames = [data.fold_frames(f) for f in folds]
     for f, pair in zip(folds, frames, strict=True):
         if any(frame.isEmpty() for frame in pair):
             raise ValueError(f"fold {f.number} has no rows to train or to validate on")
+    of_trees, of_depth = NESTED.get(name, (None, None))
 
-    def evaluate(parameters: dict[str, object]) -> TuningResult:
-        scores = []
-        for train, validation in frames:
-            try:
-                model = estimator(name, settings, **parameters).fit(train)
-                scored = regression_metrics(
-                    model.transform(validation), [], actual=LABEL, predicted="prediction"
-                )
-                scores.append(scored.first()[metric])
-            except Exception as error:  # told by the caller
-                return TuningResult(name, parameters, scores, float("nan"), f"{type(error).__name__}: {error}")
-        if any(s is None for s in scores):
-            return TuningResult(name, parameters, [], float("nan"), f"{metric} is not defined on a fold")
-        return TuningResult(name, parameters, scores, sum(scores) / len(scores))
-
-    session = data.rows.df.sparkSession
+    def scores(work: tuple[dict[str, object], list[int], int]) -> dict[tuple[int, int], float | str | None]:
+        """The score, or the error, of every set of a group on a fold."""
+        widest, numbers, fold = work
+        train, validation = frames[fold]
+        try:
+            model = estimator(name, settings, **widest).fit(train)
+            if name in NESTED:
+                wanted = [(grid[k].get(of_trees), grid[k].get(of_depth)) for k in numbers]
+                found = [e[metric] for e in trees.prefix_errors(validation, trees.read_trees(session, model), wanted)]
+            else:
+                scored = regression_metrics(model.transform(validation), [], actual=LABEL, predicted="prediction")
+                found = [scored.first()[metric]] * len(numbers)
+            return {(k, fold): value for k, value in zip(numbers, found, strict=True)}
+        except Exception as error:  # told by the caller
+            if len(numbers) == 1:
+                return {(numbers[0], fold): f"{type(error).__name__}: {error}"}
+            # the largest may be what cannot be fitted
+            alone = [scores((grid[k], [k], fold)) for k in numbers]
+            return {key: value for one in alone for key, value in one.items()}
+
+    work = [(widest, numbers, fold) for widest, numbers in nested_sets(name, grid) for fold in range(len(folds))]
     with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(inheritable_thread_target(session)(evaluate), grid))
-    scored = [r for r in results if r.error is None]
-    if not scored:
-        raise RuntimeError(f"{name}: no parameter set could be fitted, first {results[0].error}")
-    scored.sort(key=lambda r: -r.mean_score if metric == "r2" else r.mean_score)
-    return scored + [r for r in results if r.error is not None]
+        found = {k: v for one in pool.map(inheritable_thread_target(session)(scores), work) for k, v in one.items()}
+    results = []
+    for k, parameters in enumerate(grid):
+        own = [found[k, fold] for fold in range(len(folds))]
+        errors = [v for v in own if isinstance(v, str)]
+        results.append(
+            TuningResult(name, parameters, [], float("nan"), errors[0]) if errors else _tuned(name, parameters, own, metric)
+        )
+    return results
+
+
+def tune_all(
+    tasks: Sequence[TaskData], folds: Callable[[TaskData], Sequence[prep.Fold]], *, settings: dict[str, dict] | None = None, **options: object
+) -> list[tuple[str, list[TuningResult]]]:
+    """Tune every enabled model of every task; tasks and models run side by side."""
+    all_settings = settings or SETTINGS
+    work = [(data, name) for name in reversed(candidate_models(all_settings)) for data in tasks]
+
+    def one(item: tuple[TaskData, str]) -> list[TuningResult]:
+        data, name = item
+        return tune(data, name, folds(data), settings=all_settings[name], **options)
+
+    session = tasks[0].rows.df.sparkSession
+    with ThreadPoolExecutor(len(work)) as pool:
+        found = list(pool.map(inheritable_thread_target(session)(one), work))
+    order = {data.task.name: k for k, data in enumerate(tasks)}
+    made = [(data.task.name, name, results) for (data, name), results in zip(work, found, strict=True)]
+    made.sort(key=lambda x: (order[x[0]], candidate_models(all_settings).index(x[1])))
+    return [(task, results) for task, _, results in made]
 
 
 def tuning_table(spark: SparkSession, task: str, results: Iterable[TuningResult]) -> DataFrame:
@@ -276,17 +403,18 @@ def train_candidates(
     settings: dict[str, dict] | None = None,
     folds: Sequence[prep.Fold] | None = None,
     spaces: dict[str, dict[str, Sequence]] | None = None,
+    parallelism: int = 4,
 ) -> list[TrainedCandidate]:
     """Fit every enabled model of a task on its training rows and predict its test rows.
 
     With ``folds`` the parameters are tuned first. A model that fails is kept with its error.
+    Models are fitted side by side, ``parallelism`` at a time.
     """
     spark = data.rows.df.sparkSession
     all_settings = settings or SETTINGS
-    candidates = []
-    for name in candidate_models(all_settings):
+
+    def train(name: str) -> TrainedCandidate:
         candidate = TrainedCandidate(data.task.name, name)
-        candidates.append(candidate)
         try:
             if folds:
                 # a model that the spaces do not name is not tuned
@@ -303,11 +431,26 @@ def train_candidates(
             candidate.predictions_path = path
         except Exception as error:
             candidate.error = f"{type(error).__name__}: {error}"
+        return candidate
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        candidates = list(pool.map(inheritable_thread_target(spark)(train), candidate_models(all_settings)))
     if all(c.error for c in candidates):
         raise RuntimeError(f"{data.task.name}: every model failed, first {candidates[0].error}")
     return candidates
 
 
+def train_all(tasks: Sequence[TaskData], folds: Callable[[TaskData], Sequence[prep.Fold]] | None = None, **options: object) -> list[TrainedCandidate]:
+    """``train_candidates`` for every task, side by side; with ``folds`` each is tuned first."""
+    session = tasks[0].rows.df.sparkSession
+
+    def one(data: TaskData) -> list[TrainedCandidate]:
+        return train_candidates(data, folds=folds(data) if folds else None, **options)
+
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [c for found in pool.map(inheritable_thread_target(session)(one), tasks) for c in found]
+
+
 def predictions_of(spark: SparkSession, candidates: Sequence[TrainedCandidate]) -> DataFrame:
     """Long predictions of all candidates that have some."""
     return spark.read.parquet(*[c.predictions_path for c in candidates if c.predictions_path])
@@ -427,10 +570,10 @@ def forecast_tail(
     # the first day has no value a day before and is left out
     lagged = add_day_lag(ordered, column, day_rows).df.where(F.col(lag).isNotNull() & F.col(column).isNotNull())
     dated = lagged.select(
-        RN, ts, F.hour(ts).alias("Hour"), F.weekday(ts).alias("DayOfWeek"), lag, F.col(column).alias(LABEL)
+        RN, *ordered.series, ts, F.hour(ts).alias("Hour"), F.weekday(ts).alias("DayOfWeek"), lag, F.col(column).alias(LABEL)
     )
     rows = ordered.with_df(stage(dated, "forecast"))
     train, test = prep.tail_holdout(rows, holdout_rows)
     model, _ = fit_pipeline(train, ["Hour", "DayOfWeek", lag], estimator("random_forest", forest or FORECAST_FOREST))
-    predicted = model.transform(test).select(RN, ts, F.col(LABEL).alias("Actual"), F.col("prediction").alias("Predicted"))
+    predicted = model.transform(test).select(RN, *ordered.series, ts, F.col(LABEL).alias("Actual"), F.col("prediction").alias("Predicted"))
     return add_smoothed(rows.with_df(predicted), ["Actual", "Predicted"], smoothing_rows).df.drop(RN)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
@@ -234,6 +235,15 @@ def _between(span: tuple[int, int], slices: int | None) -> Column:
     return (F.col(ROW) >= low) & (F.col(ROW) < high)
 
 
+def slice_of(cuts: Sequence[int], slices: int | None = None) -> Column:
+    """How many of the ``cuts`` lie at or before a row: the slice between two of them that it is in."""
+    if slices is None:
+        passed = [F.col(RN) >= at for at in cuts]
+    else:
+        passed = [F.col(ROW) >= F.expr(f"{ROWS} * {at} div {slices}") for at in cuts]
+    return reduce(lambda a, b: a + b, [p.cast("int") for p in passed])
+
+
 def _foldable(ordered: OrderedRows, folds: Sequence[Fold]) -> DataFrame:
     placed = all(c in ordered.df.columns for c in (ROW, ROWS)) or all(f.slices is None for f in folds)
     return ordered.df if placed else series_rows(ordered).df

@@ -148,24 +148,19 @@ def ml_gbt_predict(spark, sf_dir):
     return _predicted(spark, sf_dir, "gradient_boosted_tree")
 
 
+def folds_of(data):
+    return prep.expanding_folds(data.train_rows)
+
+
 @query("ml_tune")
 def ml_tune(spark, sf_dir):
-    tables = []
-    for data in task_data(spark, sf_dir):
-        folds = prep.expanding_folds(data.train_rows)
-        for name in ml.candidate_models():
-            results = ml.tune(data, name, folds, settings=ml.SETTINGS[name])
-            tables.append(ml.tuning_table(spark, data.task.name, results))
-    return reduce(DataFrame.unionByName, tables)
+    found = ml.tune_all(list(task_data(spark, sf_dir)), folds_of)
+    return reduce(DataFrame.unionByName, [ml.tuning_table(spark, task, results) for task, results in found])
 
 
 def trained(spark, sf_dir, *, tuned=False):
     """All tasks and models, with ``tuned`` at the best parameters over the folds of their training rows."""
-    found = []
-    for data in task_data(spark, sf_dir):
-        folds = prep.expanding_folds(data.train_rows) if tuned else None
-        found += ml.train_candidates(data, ts="obs_ts", folds=folds)
-    return found
+    return ml.train_all(list(task_data(spark, sf_dir)), folds_of if tuned else None, ts="obs_ts")
 
 
 @query("ml_train_all")
