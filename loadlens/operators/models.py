@@ -19,12 +19,12 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens.operators import gram, prep, trees
 from loadlens.operators.evaluate import regression_metrics
-from loadlens.operators.features import DAY_ROWS, LAGGED_COLUMN, SMOOTHING_ROWS, add_day_lag, add_smoothed
+from loadlens.operators.features import DAY_ROWS, LAGGED_COLUMN, SMOOTHING_ROWS, add_day_lag, add_lags, add_smoothed
 from loadlens.operators.ordered import RN, OrderedRows, order_rows
 from loadlens.sources.shared import shared_path, stage
 
@@ -577,3 +577,37 @@ def forecast_tail(
     model, _ = fit_pipeline(train, ["Hour", "DayOfWeek", lag], estimator("random_forest", forest or FORECAST_FOREST))
     predicted = model.transform(test).select(RN, *ordered.series, ts, F.col(LABEL).alias("Actual"), F.col("prediction").alias("Predicted"))
     return add_smoothed(rows.with_df(predicted), ["Actual", "Predicted"], smoothing_rows).df.drop(RN)
+
+
+def forecast_by_series(
+    ordered: OrderedRows, column: str, *, horizon: int, lags: int = 1, reg_param: float = 0.0
+) -> DataFrame:
+    """Forecast ``horizon`` steps beyond the last reading of every series from its own predictions.
+
+    Each series has a regression of its value on the ``lags`` values before it, fitted from
+    sums over its rows. A step's prediction is a value of the next step. Returned are the
+    series, ``step`` (from 1) and ``prediction``. A series with fewer than ``lags`` + 1 readings, or
+    without a value among the last ``lags``, has no forecast.
+    """
+    names = [f"{column}_Lag_{k}" for k in range(1, lags + 1)]
+    lagged = add_lags(ordered, column, list(range(1, lags + 1)))
+    # read for the sums and for the last values
+    placed = prep.series_rows(ordered.with_df(stage(lagged.df.select(RN, *ordered.series, column, *names), "lagged"))).df
+    series = list(ordered.series) or ["__all"]
+    if not ordered.series:
+        placed = placed.withColumn("__all", F.lit(0))
+
+    def all_known(columns: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+    vectors = assembler(names).transform(placed.where(all_known([column, *names]))).select(*series, FEATURES, F.col(column).alias(LABEL))
+    fits = gram.fit_by_series(vectors, series, reg_param=reg_param)
+    # the latest value first
+    newest = [column, *names][:lags]
+    last = placed.where((F.col(prep.ROW) == F.col(prep.ROWS) - 1) & all_known(newest))
+    started = last.select(*series, F.array(*[F.col(c).cast("double") for c in newest]).alias("state"))
+    step = f"""aggregate(sequence(1, {int(horizon)}), named_struct('held', state, 'made', cast(array() as array<double>)), (s, i) ->
+        transform(array(intercept + aggregate(zip_with(s.held, coefficients, (x, w) -> x * w), 0.0D, (t, v) -> t + v)),
+            y -> named_struct('held', slice(concat(array(y), s.held), 1, {int(lags)}), 'made', concat(s.made, array(y))))[0]).made"""
+    made = started.join(fits, series).select(*series, F.posexplode(F.expr(step)).alias("step", "prediction"))
+    return made.select(*ordered.series, (F.col("step") + 1).alias("step"), "prediction")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from loadlens.plans import (  # noqa: F401
     energy_queries,
     evaluation_queries,
+    fit_queries,
     model_queries,
     ranking_queries,
     series_queries,

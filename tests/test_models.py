@@ -150,3 +150,34 @@ def test_forecast(spark):
     assert len(rows) == 100
     assert max(abs(r["Actual"] - r["Predicted"]) for r in rows) < 2
     assert rows[1]["Actual_Smooth_5"] == (rows[0]["Actual"] + rows[1]["Actual"]) / 2
+
+
+@pytest.mark.parametrize("series", [[], ["meter"]])
+def test_recursive_forecast_goes_on_from_its_own_predictions(spark, series):
+    values = {"a": [1.0, 2.0], "b": [3.0, -1.0]}
+    for v in values.values():
+        for _ in range(60):
+            v.append(0.6 * v[-1] - 0.3 * v[-2] + 1.5)
+    names = list(values) if series else ["a"]
+    rows = [(m, i, float(x)) for m in names for i, x in enumerate(values[m])] + ([("short", 0, 1.0), ("short", 1, 2.0)] if series else [])
+    df = spark.createDataFrame(rows, "meter string, i long, power double").withColumn("Timestamp", F.timestamp_seconds("i"))
+    found = ml.forecast_by_series(order_rows(df, ["Timestamp"], series), "power", horizon=5, lags=2)
+    got = {(r["meter"] if series else "a", r["step"]): r["prediction"] for r in found.collect()}
+    assert len(got) == 5 * len(names)
+    for m in names:
+        held = list(values[m])
+        for step in range(1, 6):
+            held.append(0.6 * held[-1] - 0.3 * held[-2] + 1.5)
+            assert got[m, step] == pytest.approx(held[-1], abs=1e-5)
+
+
+def test_forecast_of_several_meters(spark):
+    df = spark.range(1200).select(
+        (F.col("id") % 2).alias("meter"),
+        F.timestamp_seconds(F.floor(F.col("id") / 2) * 3600).alias("Timestamp"),
+        (F.floor(F.col("id") / 2) % 24 + 50 * (F.col("id") % 2)).cast("double").alias("Global_active_power"),
+    )
+    got = ml.forecast_tail(order_rows(df, ["Timestamp"], ["meter"]), holdout_rows=100, day_rows=24, smoothing_rows=5)
+    rows = got.collect()
+    assert len(rows) == 200 and {r["meter"] for r in rows} == {0, 1}
+    assert max(abs(r["Actual"] - r["Predicted"]) for r in rows) < 5
