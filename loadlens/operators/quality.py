@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadlens.sources.readings import CORRUPT
+
 # Fixed values
 EXPECTED_COLUMNS = {
     "Date": "string",
@@ -138,14 +140,29 @@ def validation_report(
     expected: dict[str, str] | None = None,
     max_null_percentage: float = MAX_NULL_PERCENTAGE,
 ) -> DataFrame:
-    """One row per check: row count, columns, delimiter, types, nulls and empty columns."""
+    """One row per check: row count, columns, delimiter, types, nulls and empty columns.
+
+    Where ``df`` was read with the text of malformed rows (``CORRUPT``), their number is a check
+    too; any is a warning.
+    """
+    corrupt = CORRUPT in df.columns
+    whole, df = df, df.drop(CORRUPT)
     positional = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names may repeat
+    if corrupt:
+        # all columns are read, so that every row is parsed
+        positional = whole.toDF(*["__malformed" if c == CORRUPT else c for c in whole.columns])
+        positional = positional.select(*[c for c in positional.columns if c != "__malformed"], "__malformed").toDF(
+            *[f"c{i}" for i in range(len(df.columns))], "__malformed"
+        )
     counted = _null_counts(positional)
     rows = F.col("__rows")
     checks = [
         _check("row_count", None, rows, "1", F.when(rows > 0, "PASS").otherwise("FAIL")),
         *_schema_checks(df, expected or EXPECTED_COLUMNS),
     ]
+    if corrupt:
+        malformed = rows - F.col(f"__nulls_{len(df.columns)}")
+        checks.append(_check("malformed_rows", None, malformed, "0", F.when(malformed > 0, "WARN").otherwise("PASS")))
     for i, c in enumerate(df.columns):
         nulls = F.col(f"__nulls_{i}")
         percentage = F.try_divide(nulls, rows) * 100.0

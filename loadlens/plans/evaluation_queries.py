@@ -536,15 +536,37 @@ def tb_selection(spark, sf_dir):
 
 @query(
     "tb_statistics",
-    f"""WITH {SELECTED_SQL}, {WILCOXON_SQL}
+    f"""WITH {SELECTED_SQL}, {WILCOXON_SQL}, {T_SQL},
+areas AS (SELECT Task, baseline_model, candidate_model, statistic, sample_size,
+ {_simpson("EXP(-0.5e0*(ABS(z) + i*0.003e0)*(ABS(z) + i*0.003e0))")} * 0.003e0/3*2/SQRT(2*pi()) AS p
+ FROM w, range(4001) r(i) GROUP BY Task, baseline_model, candidate_model, statistic, sample_size, z),
+q AS (SELECT Task, baseline_model, candidate_model, mean_diff, sem_diff, 2.241402727604947e0 AS z, sample_size - 1e0 AS df FROM t),
+tested AS (SELECT areas.*, 0.05::DOUBLE/COUNT(*) OVER (PARTITION BY Task) AS level, mean_diff, sem_diff*{T_QUANTILE_SQL} AS reach
+ FROM areas JOIN q USING (Task, baseline_model, candidate_model))
 SELECT Task, baseline_model, candidate_model, 'wilcoxon' AS test_name, {_text("statistic")} AS statistic,
- {_text("0.05::DOUBLE/COUNT(*) OVER (PARTITION BY Task)")} AS alpha, 'bonferroni' AS correction_method, sample_size,
- '' AS notes FROM w""",
+ printf('%.4e', p) AS p_value, {_text("level")} AS alpha, CASE WHEN p < level THEN 'Yes' ELSE 'No' END AS significant,
+ 'bonferroni' AS correction_method, sample_size, {_text("mean_diff - reach")} AS ci_lower, {_text("mean_diff + reach")} AS ci_upper,
+ '' AS notes FROM tested""",
     ("pred",),
 )
 def tb_statistics(spark, sf_dir):
-    # probabilities and interval bounds have no SQL counterpart; ev_wilcoxon_p returns them
-    return ch.statistics_table(comparisons(spark, sf_dir)).drop("p_value", "significant", "ci_lower", "ci_upper")
+    return ch.statistics_table(comparisons(spark, sf_dir))
+
+
+@query(
+    "ev_few_pairs",
+    f"""WITH {SELECTED_SQL}, {T_SQL} SELECT Task, baseline_model, candidate_model, 0e0 AS statistic, 1e0 AS p_value, 0.05::DOUBLE AS alpha,
+ FALSE AS is_significant, 'none' AS correction_method, sample_size, CAST(NULL AS DOUBLE) AS ci_lower, CAST(NULL AS DOUBLE) AS ci_upper,
+ 'not tested: ' || sample_size || ' pairs, ' || (MAX(sample_size) OVER () + 1) || ' are needed' AS notes FROM t""",
+    ("pred",),
+)
+def ev_few_pairs(spark, sf_dir):
+    """One pair short of what a test needs, in every task."""
+    made = predictions(spark, sf_dir)
+    metrics = ev.stage(ev.regression_metrics(made), "metrics")
+    needed = metrics.agg(F.max("num_rows")).first()[0] + 1
+    tested = ev.compare_predictors(made, ev.best_by_rmse(metrics), on=KEYS, min_pairs=needed)
+    return tested.drop("test_name")
 
 
 @query(

@@ -43,13 +43,13 @@ class Options:
 
 def read_valid(spark: SparkSession, path: str, options: Options, report_path: str | None = None) -> DataFrame:
     """Text readings; raises when a check of the validation report fails, which is kept at ``report_path``."""
-    raw = readings.read_readings(spark, path, delimiter=options.delimiter, missing=options.missing)
+    raw = readings.read_readings(spark, path, delimiter=options.delimiter, missing=options.missing, keep_corrupt=True)
     report = quality.validation_report(raw, max_null_percentage=options.max_null_percentage)
     if report_path:
         report = stage(report, "validation")
         tables.save_flat_report(report, report_path)
     quality.require_valid(report)
-    return raw
+    return raw.drop(readings.CORRUPT)
 
 
 def cleaned(raw: DataFrame, options: Options) -> OrderedRows:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from loadlens.functions.calendar import text_timestamp
@@ -10,7 +12,7 @@ from loadlens.operators import quality
 from loadlens.operators.ordered import RN
 from loadlens.operators.ranking import rank_candidates, with_failed
 from loadlens.plans import household
-from loadlens.plans.energy_queries import KWH, _windowed, clean_meter
+from loadlens.plans.energy_queries import KWH, SEASON_NAME, clean_meter
 from loadlens.plans.fixtures import METER_COLUMNS, candidates, failed_candidates, meter, predictions, raw_text, table
 from loadlens.plans.ranking_queries import RANKED_SQL
 from loadlens.plans.registry import query, rounded
@@ -53,6 +55,11 @@ def src_raw_readings(spark, sf_dir):
  COUNT(*) AS with_Date FROM events""",
 )
 def src_corrupt_rows(spark, sf_dir):
+    return rd.malformed_count(malformed_readings(spark, sf_dir))
+
+
+def malformed_readings(spark, sf_dir):
+    """Readings written with too few or too many fields for two kinds of events."""
     path = shared_path(spark, "malformed")
     cells = [F.date_format("ts", "d/M/yyyy"), F.date_format("ts", "H:m:s"), *[F.col("value").cast("string")] * 7]
     line = (
@@ -63,7 +70,17 @@ def src_corrupt_rows(spark, sf_dir):
     lines = table(spark, sf_dir, "events").select(line.alias(";".join(rd.RAW_COLUMNS)))
     # plain text with the column names as first line of each file
     lines.write.option("header", True).option("quote", "").option("sep", "\t").csv(path)
-    return rd.malformed_count(rd.read_readings(spark, path, keep_corrupt=True))
+    return rd.read_readings(spark, path, keep_corrupt=True)
+
+
+@query(
+    "dq_malformed_check",
+    """SELECT 'malformed_rows' AS "check", CAST(COUNT(*) FILTER (WHERE event_type IN ('error', 'view')) AS VARCHAR) AS observed,
+ '0' AS threshold, 'WARN' AS status FROM events""",
+)
+def dq_malformed_check(spark, sf_dir):
+    report = quality.validation_report(malformed_readings(spark, sf_dir))
+    return report.where("check = 'malformed_rows'").select("check", "observed", "threshold", "status")
 
 
 @query(
@@ -80,21 +97,50 @@ def snk_features_roundtrip(spark, sf_dir):
 @query(
     "snk_predictions_roundtrip",
     """SELECT Task, Model, 'v1' AS version, obs_ts AS Timestamp, ROUND(Actual, 9) AS Actual,
- ROUND(Predicted, 9) AS Predicted FROM pred WHERE Task = 'click' AND Model = 'm_bias'""",
+ ROUND(Predicted, 9) AS Predicted FROM pred""",
     ("pred",),
 )
 def snk_predictions_roundtrip(spark, sf_dir):
     base = shared_path(spark, "predictions")
     made = predictions(spark, sf_dir).select(F.col("obs_ts").alias("Timestamp"), "Actual", "Predicted", "Task", "Model")
     tables.save_predictions(made, base)
-    return rounded(tables.load_predictions(spark, base, "click", "m_bias"), "Actual", "Predicted")
+    return rounded(tables.load_predictions(spark, base), "Actual", "Predicted")
 
 
-@query("snk_energy_roundtrip", _windowed("date_trunc('day', obs_ts)", "1 day"), ("meter",))
+PERIODS = ("hourly", "daily", "weekly", "monthly", "seasonal")
+_SUMS = """ROUND(SUM(Global_active_power)/60e0, 9) AS Energy_Global_active_power,
+ ROUND(SUM(Global_reactive_power)/60e0, 9) AS Energy_Global_reactive_power,
+ ROUND(SUM(Global_active_power)/60e0*0.5e0, 9) AS Carbon_Emission_kgCO2"""
+# weeks count from the epoch, a Thursday
+_WEEK = "date_trunc('day', {ts}) - INTERVAL 1 DAY*(date_diff('day', TIMESTAMP '1970-01-01', {ts}) % 7)"
+
+
+def _every_period(source: str, ts: str = "obs_ts") -> str:
+    """All energy tables of ``source`` under one another."""
+    windows = {
+        "hourly": (f"date_trunc('hour', {ts})", "1 hour"), "daily": (f"date_trunc('day', {ts})", "1 day"), "weekly": (_WEEK.format(ts=ts), "7 days"),
+    }
+    parts = [
+        f"SELECT '{name}' AS period, {start} AS Window_Start, {start} + INTERVAL '{width}' AS Window_End, {_SUMS} FROM {source} GROUP BY ALL"
+        for name, (start, width) in windows.items()
+    ]
+    year, season = f"CAST(year({ts}) AS INTEGER) AS Year", SEASON_NAME.replace("obs_ts", ts)
+    parts.append(f"SELECT 'monthly' AS period, {year}, CAST(month({ts}) AS INTEGER) AS Month, {_SUMS} FROM {source} GROUP BY ALL")
+    parts.append(f"SELECT 'seasonal' AS period, {year}, {season} AS Season, {_SUMS} FROM {source} GROUP BY ALL")
+    return " UNION ALL BY NAME ".join(f"({p})" for p in parts)
+
+
+def every_period(frames):
+    """The tables under one another; windows, months and seasons are null where a period has none."""
+    named = [frames[name].withColumn("period", F.lit(name)) for name in PERIODS]
+    return rounded(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named), *KWH)
+
+
+@query("snk_energy_roundtrip", f"WITH {CLEAN_METER} SELECT * FROM ({_every_period('readings')})", ("meter",))
 def snk_energy_roundtrip(spark, sf_dir):
     base = shared_path(spark, "energy")
     tables.save_aggregates(en.energy_tables(clean_meter(spark, sf_dir), ts="obs_ts"), base)
-    return rounded(tables.load_aggregate(spark, base, "daily"), *KWH)
+    return every_period({name: tables.load_aggregate(spark, base, name) for name in PERIODS})
 
 
 @query(
@@ -263,16 +309,13 @@ def dq_dataset_summary(spark, sf_dir):
 @query(
     "flow_file_to_energy",
     f"""WITH {CLEANED_TEXT}, capped AS (SELECT obs_ts, {_each(CAP.replace("ROUND(", "(").replace(", 9)", ")"))} FROM zeroed)
-SELECT date_trunc('hour', obs_ts) AS Window_Start, date_trunc('hour', obs_ts) + INTERVAL '1 hour' AS Window_End,
- ROUND(SUM(Global_active_power)/60e0, 9) AS Energy_Global_active_power,
- ROUND(SUM(Global_reactive_power)/60e0, 9) AS Energy_Global_reactive_power,
- ROUND(SUM(Global_active_power)/60e0*0.5e0, 9) AS Carbon_Emission_kgCO2 FROM capped GROUP BY 1, 2""",
+SELECT * FROM ({_every_period("capped")})""",
     ("meter", "raw"),
 )
 def flow_file_to_energy(spark, sf_dir):
     options = household.Options(quantile_error=0.0)
     readings = household.cleaned(household.read_valid(spark, raw_file(spark, sf_dir), options), options)
-    return rounded(en.energy_tables(readings.df)["hourly"], *KWH)
+    return every_period(en.energy_tables(readings.df))
 
 
 @query(
