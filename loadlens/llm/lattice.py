@@ -135,6 +135,128 @@ class Lattice:
                 into[number] += count * exp(here + value + beta[end])
 
 
+class Pieces:
+    """The vocabulary as tables of hashes, for all words of one length at a time."""
+
+    def __init__(self, pieces: list[bytes], log_probs: np.ndarray):
+        self.longest = max(map(len, pieces))
+        self.log_probs = np.asarray(log_probs, float)
+        self.keys = np.array([_rolled(p) for p in pieces], np.uint64)
+        self.single = Lattice(pieces, log_probs)
+        slots = self._slot(self.keys)
+        self.first = np.full(1 << _SLOT_BITS, -1, np.int32)
+        self.first[slots[::-1]] = np.arange(len(pieces), dtype=np.int32)[::-1]
+        # those that lost their slot to another piece, by their hash
+        lost = np.flatnonzero(self.first[slots] != np.arange(len(pieces)))
+        self.lost = lost[np.argsort(self.keys[lost])]
+
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return (hashes * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The piece of every hash, -1 where there is none."""
+        out = self.first[self._slot(hashes)]
+        wrong = np.flatnonzero((out >= 0) & (self.keys[out] != hashes))
+        if len(wrong):
+            out[wrong] = -1
+            if len(self.lost):
+                keys = self.keys[self.lost]
+                at = np.minimum(np.searchsorted(keys, hashes[wrong]), len(keys) - 1)
+                hit = keys[at] == hashes[wrong]
+                out[wrong[hit]] = self.lost[at[hit]]
+        return out
+
+    def _arcs(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Start, end, rows and numbers of the pieces in words of one length."""
+        length = words.shape[1]
+        for start in range(length):
+            hashes = np.zeros(len(words), np.uint64)
+            for end in range(start + 1, min(length, start + self.longest) + 1):
+                hashes = hashes * _ROLL + words[:, end - 1]
+                found = self.numbers(hashes)
+                rows = np.flatnonzero(found >= 0)
+                if len(rows):
+                    yield start, end, rows, found[rows]
+
+    def _forward(self, words: np.ndarray, kept: list | None = None) -> np.ndarray:
+        """Log of the summed probability of all ways to each position of every word."""
+        alpha = np.full((words.shape[1] + 1, len(words)), -np.inf)
+        alpha[0] = 0.0
+        for start, end, rows, numbers in self._arcs(words):
+            if kept is not None:
+                kept.append((start, end, rows, numbers))
+            alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[start, rows] + self.log_probs[numbers])
+        return alpha
+
+    def log_probs_of(self, words: list[bytes]) -> np.ndarray:
+        """Natural logarithms of the words' marginal probabilities."""
+        out = np.empty(len(words))
+        for at, matrix in _by_length(words):
+            if matrix is None:
+                out[at] = [self.single.log_prob(words[i]) for i in at]
+            else:
+                out[at] = self._forward(matrix)[-1]
+        return out
+
+    def expected(self, words: list[bytes], counts: np.ndarray, into: np.ndarray) -> None:
+        """Add the expected number of times each piece is used in the words, each ``counts`` times."""
+        for at, matrix in _by_length(words):
+            if matrix is None:
+                for i in at:
+                    self.single.expected(words[i], float(counts[i]), into)
+                continue
+            arcs: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+            alpha = self._forward(matrix, arcs)
+            beta = np.full_like(alpha, -np.inf)
+            beta[-1] = 0.0
+            own = counts[at]
+            for start, end, rows, numbers in reversed(arcs):
+                value = self.log_probs[numbers] + beta[end, rows]
+                used = own[rows] * np.exp(alpha[start, rows] + value - alpha[-1, rows])
+                into += np.bincount(numbers, used, minlength=len(into))
+                beta[start, rows] = np.logaddexp(beta[start, rows], value)
+
+
+_ROLL, _SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 21
+_LONG_WORD = 64  # bytes; longer words are taken one by one
+_WORDS_AT_ONCE = 50_000
+
+
+def _rolled(piece: bytes) -> int:
+    out = 0
+    for byte in piece:
+        out = (out * int(_ROLL) + byte + 1) & (2**64 - 1)
+    return out
+
+
+def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Numbers of the words of each length, with a row for each of a space and its bytes, all one higher."""
+    lengths = np.array([len(w) for w in words])
+    long = np.flatnonzero(lengths > _LONG_WORD)
+    if len(long):
+        yield long, None
+    for n in np.unique(lengths[lengths <= _LONG_WORD]):
+        at = np.flatnonzero(lengths == n)
+        body = np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(len(at), n)
+        matrix = np.full((len(at), n + 1), ord(" ") + 1, np.uint64, order="F")
+        matrix[:, 1:] = body
+        matrix[:, 1:] += np.uint64(1)
+        yield at, matrix
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of small batches together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _WORDS_AT_ONCE:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _log_sum(terms: list[float]) -> float:
     if len(terms) == 1:
         return terms[0]
@@ -150,7 +272,7 @@ class Scorer:
     pieces: list[bytes]
     log_probs: np.ndarray
     log_end: float
-    head: dict[bytes, int]  # counts of the most frequent words
+    head: dict[bytes, tuple[float, float]]  # log-probability and log10 of count + 1 of the most frequent words
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -188,13 +310,10 @@ def estimate(
     sent = counts.sparkSession.sparkContext.broadcast((pieces, start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, values = sent.value
-        lattice, into = Lattice(pieces, values), [0.0] * len(pieces)
-        with _no_cycles():
-            for batch in batches:
-                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    lattice.expected(word, n, into)
-        used = np.array(into)
+        lattice = Pieces(*sent.value)
+        used = np.zeros(len(lattice.keys))
+        for block in _in_blocks(batches):
+            lattice.expected(block["word"].to_pylist(), block["n"].to_numpy().astype(float), used)
         at = np.flatnonzero(used)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(used[at])], ["piece", "used"])
 
@@ -211,19 +330,18 @@ def estimate(
 @contextmanager
 def _no_cycles() -> Iterator[None]:
     """The work here makes no reference cycles, and looking for them takes a third of the time."""
+    collecting = gc.isenabled()
     gc.disable()
     try:
         yield
     finally:
-        gc.enable()
-
-
-_scorers: dict[int, tuple[Lattice, dict]] = {}
+        if collecting:
+            gc.enable()
 
 
 def _doc_rows(documents: DataFrame, scorer: Scorer, keep: list[Column], text: str) -> DataFrame:
     """Sums over a text's words in the head, and the other words with their counts."""
-    sent = documents.sparkSession.sparkContext.broadcast(scorer)
+    sent = documents.sparkSession.sparkContext.broadcast((scorer.log_end, scorer.head))
     rows = documents.select(*keep, F.col(text).cast("binary").alias("__text"))
     kinds = "".join(f"`{name}` {kind}, " for name, kind in rows.dtypes[:-1])
     names = ["n_tokens", "head_sum", "head_known", "head_score", "tail_words", "tail_counts"]
@@ -233,29 +351,21 @@ def _doc_rows(documents: DataFrame, scorer: Scorer, keep: list[Column], text: st
             yield from score_all(batches)
 
     def score_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = sent.value
-        if id(scorer) not in _scorers:
-            _scorers.clear()
-            _scorers[id(scorer)] = Lattice(scorer.pieces, scorer.log_probs), {}
-        lattice, known = _scorers[id(scorer)]
-        head = scorer.head
+        log_end, head = sent.value
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 out: list[tuple] = []
                 for value in batch.column(batch.num_columns - 1):
                     words = tokens(value.as_py())
-                    total, in_head, score = 0.0, 0, scorer.log_end
+                    total, in_head, score = 0.0, 0, log_end
                     tail_words, tail_counts = [], []
                     for word, n in Counter(words).items():
-                        values = known.get(word)
+                        values = head.get(word)
                         if values is None:
-                            count = head.get(word)
-                            if count is None:
-                                tail_words.append(word)
-                                tail_counts.append(n)
-                                continue
-                            values = known[word] = lattice.log_prob(word), log10(count + 1)
+                            tail_words.append(word)
+                            tail_counts.append(n)
+                            continue
                         score += n * values[0]
                         total += n * values[1]
                         in_head += n
@@ -276,15 +386,26 @@ def _word_scores(words: DataFrame, scorer: Scorer) -> DataFrame:
     sent = words.sparkSession.sparkContext.broadcast((scorer.pieces, scorer.log_probs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with _no_cycles():
-            lattice = Lattice(*sent.value)
-            for batch in batches:
-                values = [lattice.log_prob(word) / _LN10 for word in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], ["word", "n", "log10_prob"])
+        lattice = Pieces(*sent.value)
+        for block in _in_blocks(batches):
+            values = lattice.log_probs_of(block["word"].to_pylist()) / _LN10
+            yield from block.append_column("log10_prob", pa.array(values, pa.float64())).to_batches()
 
     return words.select("word", "n").mapInArrow(run, "word binary, n long, log10_prob double")
 
 
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The most frequent of the words, ``limit`` at the most: those above a count that so many reach."""
+    step = F.floor(F.log2("n") * 16)
+    least, taken = None, 0
+    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        taken += row["count"]
+        if taken > limit:
+            break
+        least = row["step"]
+    return counts.where(step >= least)
+
+
 def score(
     documents: DataFrame, learn_from: Column, pieces: list[bytes], keep: tuple[Column, ...] = (), text: str = "text",
     head: int = HEAD,
@@ -306,9 +427,11 @@ def score(
     # the end is one more piece, used once in a text
     share = ends / (used + ends) if ends else 0.5
     log_probs = log_probs + log(1 - share)
-    top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
-    scorer = Scorer(whole, log_probs, log(share), {bytes(r["word"]): r["n"] for r in top})
-    del top
+    scorer = Scorer(whole, log_probs, log(share), {})
+    top = _word_scores(most_frequent(counts, head), scorer).toArrow()
+    found = zip(top["word"].to_pylist(), top["log10_prob"].to_pylist(), top["n"].to_pylist(), strict=True)
+    scorer.head.update({word: (value * _LN10, log10(n + 1)) for word, value, n in found})
+    del top, found
     rows = stage(_doc_rows(documents, scorer, list(keep), text).withColumn("__row", F.monotonically_increasing_id()), "scored")
     tail = rows.select(
         "__row", F.explode(F.arrays_zip("tail_words", "tail_counts")).alias("t")

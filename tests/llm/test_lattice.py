@@ -2,6 +2,7 @@ from collections import Counter
 from math import exp, isclose, log10
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loadlens.llm import lattice
@@ -44,6 +45,32 @@ def test_expected_counts_are_those_of_all_segmentations_and_raise_the_likelihood
     assert after > before
 
 
+@pytest.mark.parametrize("slots", [3, 21])
+def test_words_of_one_length_together_equal_words_one_by_one(monkeypatch, slots):
+    monkeypatch.setattr(lattice, "_SLOT_BITS", slots)  # 3: most pieces lose their slot
+    r = np.random.default_rng(slots)
+    values = lattice.first_log_probs(len(PIECES)) + r.normal(0, 1, len(PIECES))
+    one, many = lattice.Lattice(PIECES, values), lattice.Pieces(PIECES, values)
+    words = [bytes(r.choice(list(b"abc\xc3\xa9"), r.integers(0, 30)).tolist()) for _ in range(300)] + [b"ab" * 200, b""]
+    assert np.allclose(many.log_probs_of(words), [one.log_prob(w) for w in words], rtol=1e-10)
+    counts = r.integers(1, 9, len(words)).astype(float)
+    want, got = np.zeros(len(PIECES)), np.zeros(len(PIECES))
+    for word, n in zip(words, counts, strict=True):
+        one.expected(word, n, want)
+    many.expected(words, counts, got)
+    assert np.allclose(got, want, rtol=1e-8)
+    hashes = np.array([lattice._rolled(p) for p in (*PIECES, b"abcd")], np.uint64)
+    assert many.numbers(hashes).tolist() == [*range(len(PIECES)), -1]
+
+
+def test_most_frequent_words_stay_within_the_limit(spark):
+    counts = spark.createDataFrame([(bytes([97 + k]), 2**k) for k in range(20)], "word binary, n long")
+    for limit in (0, 1, 7, 99):
+        found = sorted(r["n"] for r in lattice.most_frequent(counts, limit).collect())
+        assert found == [2**k for k in range(20)][20 - min(limit, 20) :]
+    assert lattice.most_frequent(counts.where("false"), 5).count() == 0
+
+
 def test_scores_equal_counting_by_hand(spark, docs, monkeypatch):
     monkeypatch.setattr(lattice, "FLUSH_WORDS", 3)
     rows = [(i, t) for i, t in enumerate(["Ab abc ab", "ab  abc\tB", None, "", "new words ab", "é É"] * 3)]
