@@ -1,18 +1,20 @@
 r"""Personal data: fixed forms, and identifiers that bootstrapped contexts discover.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers that pass Luhn's check and
-international phone numbers. They seed the second part: a mention is a base span or any
-other token with a digit or an at-sign. Its lexical patterns are the two words before it,
-the two after it and the word on either side. Spark scores the graph of patterns and
-instances (the texts of mentions) in turns:
+international phone numbers. They seed the second part, together with keys written as 32
+or more hexadecimal digits: a mention is a base span or any other token with a digit or an
+at-sign, without the punctuation around it. Its lexical patterns are the two whole words
+before it, the two after it and the word on either side. Spark scores the graph of
+patterns and instances (the texts of mentions) in turns:
 
 * a pattern's score is the mean score of its mentions' instances, less for few mentions;
   it counts from ``MIN_SEEDS`` different seed instances on;
 * an instance that is no seed scores 1 - product(1 - score) over its patterns that reach
   ``MIN_PATTERN``.
 
-After ``ROUNDS`` turns, instances that reach ``MIN_INSTANCE`` are reported as ``other``
-wherever they occur outside base spans.
+When a turn adds no pattern, at the latest after ``ROUNDS``, instances that reach
+``MIN_INSTANCE`` by their patterns are reported as ``other`` wherever they occur outside base
+spans; a key that no pattern supports is not.
 
 Spans are found without Python: matches are set between marks and the marked text is
 split, so starts are sums of lengths in code points. Patterns are possessive, and a
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from loadlens.sources.shared import stage
 
 KINDS = ("email", "ip", "card", "phone", "other")
-ROUNDS = 3
+ROUNDS = 10
 MIN_SEEDS = 3
 MIN_PATTERN = 0.8
 MIN_INSTANCE = 0.9
@@ -48,7 +50,11 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_CONTEXT = 80
+#: keys of 32 hexadecimal digits or more, of one case
+SECRET = r"^(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"
+# windows in which the two words beside a mention are looked for: the first that holds them whole
+_WINDOWS = (80, 800, 8000)
+_LONG_WORD = 40  # longer words stand in patterns by their hash
 
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -127,19 +133,38 @@ def other_tokens(text: Column, base: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), free).otherwise(_none())
 
 
+def _words(part: Column) -> Column:
+    return F.regexp_extract_all(F.lower(part), F.lit(rf"[^{_SPACE}]+"), F.lit(0))
+
+
+def _beside(text: Column, start: Column, end: Column, left: bool) -> Column:
+    """At least the two words before or after a span, whole, where there are so many."""
+
+    def within(n: int) -> Column:
+        if left:
+            return _words(F.substring(text, F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n))))
+        return _words(F.substring(text, end + 1, F.lit(n)))
+
+    out = _words(F.substring(text, F.lit(1), start) if left else F.substring(text, end + 1, F.length(text)))
+    for n in reversed(_WINDOWS):
+        # the outermost word of a window may be cut, the two beside the span are not
+        whole = (start <= n) if left else (F.length(text) - end <= n)
+        out = F.when(whole | (F.size(within(n)) > 2), within(n)).otherwise(out)
+    return F.transform(out, lambda w: F.when(F.length(w) > _LONG_WORD, F.concat(F.lit("#"), F.hex(F.xxhash64(w)))).otherwise(w))
+
+
 def mentions(found: DataFrame) -> DataFrame:
     """One row for each base span and other token: place, instance and patterns."""
     start, end, text = F.col("m.start"), F.col("m.end"), F.col("text")
-    from_ = F.greatest(start - _CONTEXT, F.lit(0))
-    # a token without its closing punctuation, so that "x1." and "x1" are one instance
-    value = F.regexp_replace(F.substring(text, start + 1, end - start), r"[.,;:!?\"')\]]+$", "")
-    left = F.regexp_extract_all(F.lower(F.substring(text, from_ + 1, start - from_)), F.lit(rf"[^{_SPACE}]+"), F.lit(0))
-    right = F.regexp_extract_all(F.lower(F.substring(text, end + 1, F.lit(_CONTEXT))), F.lit(rf"[^{_SPACE}]+"), F.lit(0))
+    # a token without the punctuation around it, so that "x1." and "(x1)" are one instance
+    token = F.substring(text, start + 1, end - start)
+    ahead = F.when(F.col("m.kind") == 4, F.length(F.regexp_extract(token, r"^[^\p{L}0-9@]*", 0))).otherwise(0)
+    value = F.when(F.col("m.kind") == 4, F.regexp_replace(token, r"^[^\p{L}0-9@]+|[^\p{L}0-9@]+$", "")).otherwise(token)
     rows = found.select(
         "doc", "hash", "text", F.explode(F.concat("base", "others")).alias("m")
     ).select(
-        "doc", "hash", start.alias("start"), end.alias("end"), F.col("m.kind").alias("kind"),
-        value.alias("instance"), left.alias("l"), right.alias("r"),
+        "doc", "hash", (start + ahead).alias("start"), end.alias("end"), F.col("m.kind").alias("kind"),
+        value.alias("instance"), _beside(text, start, end, True).alias("l"), _beside(text, start, end, False).alias("r"),
     )
     two_before = F.when(F.size("l") > 1, F.concat(F.lit("<"), F.array_join(F.slice("l", -2, 2), " ")))
     two_after = F.when(F.size("r") > 1, F.concat(F.lit(">"), F.array_join(F.slice("r", 1, 2), " ")))
@@ -158,17 +183,22 @@ def bootstrap(
     min_instance: float = MIN_INSTANCE,
 ) -> DataFrame:
     """The instances that are discovered, from staged mentions: ``instance`` and ``score``."""
+    seed = (F.col("kind") < 4) | F.col("instance").rlike(SECRET)
     edges = stage(
-        found.select("instance", (F.col("kind") < 4).alias("seed"), F.explode("patterns").alias("pattern"))
+        found.select("instance", seed.alias("seed"), (F.col("kind") < 4).alias("base"), F.explode("patterns").alias("pattern"))
         .groupBy("pattern", "instance")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")),
+        .agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"), F.max("base").alias("base")),
         "pattern-edges",
     )
     # an instance is a seed wherever it is found as one
     scores = stage(
-        edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("is_seed")),
+        edges.groupBy("instance").agg(
+            F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("is_seed"), F.max("base").alias("is_base"),
+            F.lit(0.0).alias("learned"),
+        ),
         "instance-scores",
     )
+    before = -1
     for _ in range(rounds):
         patterns = (
             edges.join(scores, "instance")
@@ -184,13 +214,18 @@ def bootstrap(
         learned = edges.join(patterns, "pattern").groupBy("instance").agg(
             (1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(1 - 1e-12)))))).alias("learned")
         )
+        known = F.coalesce("learned", F.lit(0.0))
         scores = stage(
-            scores.join(learned, "instance", "left").select(
-                "instance", F.when(F.col("is_seed"), 1.0).otherwise(F.coalesce("learned", F.lit(0.0))).alias("score"), "is_seed"
+            scores.drop("learned").join(learned, "instance", "left").select(
+                "instance", F.when(F.col("is_seed"), 1.0).otherwise(known).alias("score"), "is_seed", "is_base", known.alias("learned")
             ),
             "instance-scores",
         )
-    return scores.where(~F.col("is_seed") & (F.col("score") >= min_instance)).select("instance", "score")
+        now = patterns.count()
+        if now == before:
+            break
+        before = now
+    return scores.where(~F.col("is_base") & (F.col("learned") >= min_instance)).select("instance", F.col("learned").alias("score"))
 
 
 def _written(spans: Column) -> Column:

@@ -81,3 +81,24 @@ def test_awkward_rows(spark, docs):
     assert pii.find_personal_data(docs(AWKWARD).where("false")).count() == 0
     twice = pii.find_personal_data(docs([(1, "a@b.co"), (1, "a@b.co"), (None, "a@b.co")])).collect()
     assert [r["spans"] for r in twice] == ["email:0:6"] * 3
+
+
+def test_keys_are_reported_where_their_context_is_supported(spark, docs):
+    keys = ["%040x" % (0xABCDEF * 7**k + 10**40) for k in range(14)]
+    keys = [k[-40:].replace("0", "a", 1) for k in keys]
+    rows = [(i, f'some words token = "{k}"### and more {i} text') for i, k in enumerate(keys)]
+    rows += [(50, 'later on token = "short77" follows'), (51, f"a digest {keys[0][::-1]} alone")]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs(rows)).collect()}
+    for key in (0, 3, 5, 50):
+        kind, start, end = found[key].split(":")
+        assert kind == "other" and dict(rows)[key][int(start) : int(end)] == (keys[key] if key < 50 else "short77")
+    assert found[51] == ""
+
+
+def test_contexts_are_whole_words(spark, docs):
+    long = "w" * 3000
+    rows = [(i, f"see {long}{'xyz'[i % 3]} {long}q user{i}@mail.example.com " + "y" * 200 + " " + "z" * 9000 + " end") for i in range(36)]
+    rows += [(100, f"see {long}x {long}q id77 else where"), (101, f"see {long}x {long}p id78 else where")]
+    found = {r["doc_id"]: r["n_other"] for r in pii.find_personal_data(docs(rows), min_pattern=0.7, min_instance=0.7).collect()}
+    # words that differ at their far end are different words
+    assert found[100] == 1 and found[101] == 0
