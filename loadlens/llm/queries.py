@@ -80,7 +80,7 @@ def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC archives and read them back as chunk rows."""
     chunks = warc.chunk_rows(table(spark, sf_dir, "pages"))
     manifest = warc.write_archives(chunks, warc.new_folder(spark))
-    rows = warc.read_chunks(spark, manifest, data=False).where("last")
+    rows = warc.read_chunks(spark, manifest).where("last")
     # the digest of a response is the one computed while reading
     return rows.select(
         F.col("record_key").cast("long").alias("page_id"),

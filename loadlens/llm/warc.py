@@ -103,19 +103,31 @@ def _record_id(key) -> str:
     return f"<urn:uuid:{uuid5(NAMESPACE_URL, f'record:{key}')}>"
 
 
+_URL_SIGNS = ":/?#[]@!$&'()*+,;=~"
+
+
+def _target(url: str | None) -> list[str]:
+    """A URL as it is; one with other signs than URLs have is escaped, which a line of its own says."""
+    if url is None:
+        return []
+    if quote(url, safe=_URL_SIGNS + "%") == url:
+        return [f"WARC-Target-URI: {url}"]
+    return [f"WARC-Target-URI: {quote(url, safe=_URL_SIGNS)}", "WARC-Target-URI-Escaped: percent"]
+
+
 def _header(row: dict) -> tuple[bytes, bytes]:
     """WARC header lines and the HTTP header that begins the block."""
     http = (
         "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
         f"Content-Length: {row['payload_bytes']}\r\n\r\n"
     ).encode()
-    key, refers = row["record_key"], row["refers_to"]
+    key, refers, url = row["record_key"], row["refers_to"], row["url"]
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if row['revisit'] else 'response'}",
         f"WARC-Record-ID: {_record_id(key)}",
         *([] if key is None else [f"WARC-Identified-Payload-Key: {key}"]),
-        f"WARC-Target-URI: {quote(row['url'] or 'urn:none', safe=':/?#[]@!$&()*+,;=%~')}",
+        *_target(url),
         f"WARC-Payload-Digest: sha256:{row['payload_digest']}",
         "Content-Type: application/http; msgtype=response",
     ]
@@ -188,8 +200,13 @@ def _records(stream, size: int) -> Iterator[tuple[dict[str, str], dict[str, str]
         if not squeezed and left:
             squeezed = stream.read(min(left, 1 << 16))
             left -= len(squeezed)
+        if inflate.eof:
+            raise ValueError("a record is shorter than its headers say")
+        had = bool(squeezed)
         got = inflate.decompress(squeezed, need)
         squeezed = inflate.unconsumed_tail or inflate.unused_data
+        if not had and not got and not inflate.eof:
+            raise ValueError("the archive ends within a record")
         return got
 
     while squeezed or left:
@@ -217,6 +234,11 @@ def _records(stream, size: int) -> Iterator[tuple[dict[str, str], dict[str, str]
         yield warc, http, payload()
 
 
+def _url_of(warc: dict[str, str]) -> str | None:
+    url = warc.get("WARC-Target-URI")
+    return unquote(url) if url and "WARC-Target-URI-Escaped" in warc else url
+
+
 CHUNK_SCHEMA = (
     "record_id string, record_key string, url string, record_type string, refers_to string, "
     "payload_bytes long, payload_digest string, chunk_no long, last boolean, bytes_so_far long, "
@@ -254,7 +276,7 @@ def read_chunks(spark: SparkSession, manifest: DataFrame, chunk_bytes: int = CHU
                         kind = warc["WARC-Type"]
                         about = (
                             warc["WARC-Record-ID"], warc.get("WARC-Identified-Payload-Key"),
-                            unquote(warc["WARC-Target-URI"]), kind, warc.get("WARC-Refers-To-Key"),
+                            _url_of(warc), kind, warc.get("WARC-Refers-To-Key"),
                             int(http["Content-Length"]), warc["WARC-Payload-Digest"].removeprefix("sha256:"),
                         )
                         for piece in payload:

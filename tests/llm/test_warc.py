@@ -1,6 +1,8 @@
 import gzip
 import hashlib
+import io
 
+import pytest
 from pyspark.sql import functions as F
 
 from loadlens.llm import warc
@@ -60,3 +62,23 @@ def test_payload_of_many_chunks_and_empty_table(spark):
     assert chunks.count() == 31 and chunks.agg(F.max(F.octet_length("data"))).first()[0] == 1 << 16
     _, chunks = _round_trip(spark, _pages(spark, [(1, "a")]).where("false"))
     assert chunks.count() == 0
+
+
+def test_urls_come_back_as_they_were(spark):
+    urls = ["http://a/%20b%2Fc?x=%26", "http://a/b c", "http://ä/€%zz", None, "", "urn:none", "http://a/\r\nx: y"]
+    pages = spark.createDataFrame([(k, u, "body") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    _, chunks = _round_trip(spark, pages)
+    assert {int(r["record_key"]): r["url"] for r in chunks.collect()} == dict(enumerate(urls))
+
+
+@pytest.mark.parametrize("cut", [1, 40, 150, 250])
+def test_truncated_archives_are_errors(spark, cut):
+    manifest, _ = _round_trip(spark, _pages(spark, [(1, "".join(chr(97 + k * k % 26) for k in range(3000)))]))
+    segment = manifest.first()
+    with open(segment["path"].removeprefix("file://"), "rb") as file:
+        whole = file.read()
+    assert len(whole) > cut
+    broken = io.BytesIO(whole[:-cut])
+    with pytest.raises(ValueError, match="ends within"):
+        for _, _, payload in warc._records(broken, len(whole) - cut):
+            list(payload)
