@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loadlens.functions.calendar import calendar_columns
 from loadlens.functions.electrical import cyclical_columns, electrical_columns
 from loadlens.operators.ordered import OrderedRows, row_frames
+from loadlens.operators.sliding import add_sliding
 
 # Fixed values
 LAGGED_COLUMN = "Global_active_power"
@@ -80,11 +81,19 @@ def add_difference(ordered: OrderedRows, column: str = LAGGED_COLUMN) -> Ordered
     return row_frames(ordered, lambda w: difference_column(w, column), 1)
 
 
+#: windows of more rows slide over chunks; frames take the others up anew for every row
+FRAME_ROWS = 240
+
+
 def add_rolling(ordered: OrderedRows, rows: int, column: str = LAGGED_COLUMN) -> OrderedRows:
+    if rows > FRAME_ROWS:
+        return add_sliding(ordered, column, rows)
     return row_frames(ordered, lambda w: rolling_columns(w, column, rows), rows)
 
 
 def add_rolling_median(ordered: OrderedRows, rows: int, column: str = LAGGED_COLUMN) -> OrderedRows:
+    if rows > FRAME_ROWS:
+        return add_sliding(ordered, column, rows, moments=False, median=True)
     return row_frames(ordered, lambda w: rolling_median_column(w, column, rows), rows)
 
 

@@ -87,6 +87,20 @@ def _chunk_of(rows: int, rn: str = RN) -> Column:
     return F.expr(f"{rn} div {rows}")
 
 
+def with_halo(ordered: OrderedRows, reach: int) -> tuple[DataFrame, list[str], Column]:
+    """Rows in chunks of positions, each with the ``reach`` rows before it.
+
+    Returned with the keys of a chunk and whether a row is the chunk's own.
+    """
+    rows = ordered.chunk_rows(reach)
+    chunk = _chunk_of(rows)
+    in_halo = F.col(RN) % rows >= rows - reach
+    spread = ordered.df.withColumn(
+        _CHUNK, F.explode(F.when(in_halo, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))
+    )
+    return spread, [*ordered.series, _CHUNK], F.col(_CHUNK) == chunk
+
+
 def row_frames(
     ordered: OrderedRows, build: Callable[[WindowSpec], dict[str, Column]], reach: int
 ) -> OrderedRows:

@@ -284,6 +284,35 @@ def ft_rolling_median(spark, sf_dir):
     return rounded(made, f"{POWER}_Rolling_15_True_Median")
 
 
+@query("ft_rolling_day", _meter_query(_rolling_sql(1440)), ("meter",))
+def ft_rolling_day(spark, sf_dir):
+    return rounded(features.add_rolling(ordered_meter(spark, sf_dir, POWER), 1440).df.drop(RN), *_moments(1440))
+
+
+@query(
+    "ft_rolling_day_by_series",
+    f"""WITH {CLEAN_METER} SELECT series_id, event_id, obs_ts, {POWER},
+ {_rolling_sql(300, 'PARTITION BY series_id ORDER BY obs_ts, event_id')} FROM readings""",
+    ("meter",),
+)
+def ft_rolling_day_by_series(spark, sf_dir):
+    ordered = ordered_meter(spark, sf_dir, POWER, series=["series_id"])
+    return rounded(features.add_rolling(ordered, 300).df.drop(RN), *_moments(300))
+
+
+@query(
+    "ft_rolling_median_day",
+    _meter_query(
+        f"""ROUND(quantile_cont({POWER}, 0.5) OVER (ORDER BY obs_ts, event_id
+ ROWS BETWEEN 1440 PRECEDING AND 1 PRECEDING), 9) AS {POWER}_Rolling_1440_True_Median"""
+    ),
+    ("meter",),
+)
+def ft_rolling_median_day(spark, sf_dir):
+    made = features.add_rolling_median(ordered_meter(spark, sf_dir, POWER), 1440).df.drop(RN)
+    return rounded(made, f"{POWER}_Rolling_1440_True_Median")
+
+
 @query("ft_lag_day", _meter_query(_lag_sql([1440])), ("meter",))
 def ft_lag_day(spark, sf_dir):
     return features.add_day_lag(ordered_meter(spark, sf_dir, POWER)).df.drop(RN)
