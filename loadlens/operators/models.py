@@ -12,6 +12,7 @@ import random
 import time
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -94,6 +95,14 @@ def fit_pipeline(df: DataFrame, features: Sequence[str], est: Estimator) -> tupl
     return model, time.perf_counter() - started
 
 
+def side_by_side(session: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
+    """Results of ``work`` for every item, in order; threads see the session and the staging scope of the caller."""
+    contexts = [copy_context() for _ in items]
+    run = inheritable_thread_target(session)(lambda context, item: context.run(work, item))
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        return list(pool.map(run, contexts, items))
+
+
 def param_grid(
     space: dict[str, Sequence],
     *,
@@ -354,8 +363,7 @@ def _tune_by_fits(
             return {key: value for one in alone for key, value in one.items()}
 
     work = [(widest, numbers, fold) for widest, numbers in nested_sets(name, grid) for fold in range(len(folds))]
-    with ThreadPoolExecutor(parallelism) as pool:
-        found = {k: v for one in pool.map(inheritable_thread_target(session)(scores), work) for k, v in one.items()}
+    found = {k: v for one in side_by_side(session, scores, work, parallelism) for k, v in one.items()}
     results = []
     for k, parameters in enumerate(grid):
         own = [found[k, fold] for fold in range(len(folds))]
@@ -378,8 +386,7 @@ def tune_all(
         return tune(data, name, folds(data), settings=all_settings[name], **options)
 
     session = tasks[0].rows.df.sparkSession
-    with ThreadPoolExecutor(len(work)) as pool:
-        found = list(pool.map(inheritable_thread_target(session)(one), work))
+    found = side_by_side(session, one, work, len(work))
     order = {data.task.name: k for k, data in enumerate(tasks)}
     made = [(data.task.name, name, results) for (data, name), results in zip(work, found, strict=True)]
     made.sort(key=lambda x: (order[x[0]], candidate_models(all_settings).index(x[1])))
@@ -404,11 +411,13 @@ def train_candidates(
     folds: Sequence[prep.Fold] | None = None,
     spaces: dict[str, dict[str, Sequence]] | None = None,
     parallelism: int = 4,
+    search: dict[str, object] | None = None,
 ) -> list[TrainedCandidate]:
     """Fit every enabled model of a task on its training rows and predict its test rows.
 
-    With ``folds`` the parameters are tuned first. A model that fails is kept with its error.
-    Models are fitted side by side, ``parallelism`` at a time.
+    With ``folds`` the parameters are tuned first; ``search`` has further arguments of ``tune``, such
+    as the metric or a random search. A model that fails is kept with its error. Models are
+    fitted side by side, ``parallelism`` at a time.
     """
     spark = data.rows.df.sparkSession
     all_settings = settings or SETTINGS
@@ -419,7 +428,7 @@ def train_candidates(
             if folds:
                 # a model that the spaces do not name is not tuned
                 space = (SEARCH_SPACES if spaces is None else spaces).get(name, {})
-                tuned = tune(data, name, folds, space=space, settings=all_settings[name]) if space else []
+                tuned = tune(data, name, folds, space=space, settings=all_settings[name], **(search or {})) if space else []
                 candidate.parameters = tuned[0].parameters if tuned else {}
             started = time.perf_counter()
             candidate.model = estimator(name, all_settings[name], **candidate.parameters).fit(data.train)
@@ -433,8 +442,7 @@ def train_candidates(
             candidate.error = f"{type(error).__name__}: {error}"
         return candidate
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        candidates = list(pool.map(inheritable_thread_target(spark)(train), candidate_models(all_settings)))
+    candidates = side_by_side(spark, train, candidate_models(all_settings), parallelism)
     if all(c.error for c in candidates):
         raise RuntimeError(f"{data.task.name}: every model failed, first {candidates[0].error}")
     return candidates
@@ -447,8 +455,7 @@ def train_all(tasks: Sequence[TaskData], folds: Callable[[TaskData], Sequence[pr
     def one(data: TaskData) -> list[TrainedCandidate]:
         return train_candidates(data, folds=folds(data) if folds else None, **options)
 
-    with ThreadPoolExecutor(len(tasks)) as pool:
-        return [c for found in pool.map(inheritable_thread_target(session)(one), tasks) for c in found]
+    return [c for found in side_by_side(session, one, tasks, len(tasks)) for c in found]
 
 
 def predictions_of(spark: SparkSession, candidates: Sequence[TrainedCandidate]) -> DataFrame:

@@ -36,6 +36,11 @@ class Options:
     fold_strategy: str = "chronological"
     folds: int = prep.FOLDS
     fold_width: int | None = None
+    validation_ratio: float | None = None  # the last share of the training rows validates, in one fold
+    tuning_metric: str = "rmse"
+    search_strategy: str = "grid_search"
+    search_combinations: int | None = None
+    search_seed: int = models.SEARCH_SEED
     test: str = "wilcoxon"
     alpha: float = evaluate.ALPHA
     correction: str = "bonferroni"
@@ -73,13 +78,20 @@ def train_and_rank(
     All fitted models are kept below ``models_path``.
     """
     tasks = prep.tasks(options.feature_set)
-    found: list[models.TrainedCandidate] = []
-    for task in tasks.values():
-        data = models.prepare_task(ordered, task, test_ratio=options.test_ratio)
-        folds = prep.series_folds(options.fold_strategy, options.folds, width=options.fold_width) if options.tune else None
-        found += models.train_candidates(
-            data, settings=options.model_settings, folds=folds, spaces=options.search_spaces
-        )
+    data = [models.prepare_task(ordered, task, test_ratio=options.test_ratio) for task in tasks.values()]
+
+    def folds(task: models.TaskData) -> list[prep.Fold]:
+        if options.validation_ratio is not None:
+            return prep.chronological_folds(task.train_rows, val_ratio=options.validation_ratio)
+        return prep.series_folds(options.fold_strategy, options.folds, width=options.fold_width)
+
+    search = {
+        "metric": options.tuning_metric, "strategy": options.search_strategy, "combinations": options.search_combinations,
+        "seed": options.search_seed,
+    }
+    found = models.train_all(
+        data, folds if options.tune else None, settings=options.model_settings, spaces=options.search_spaces, search=search
+    )
     at = {"experiment_id": F.lit(experiment_id), "timestamp": F.current_timestamp()}
     metrics = models.candidate_metrics(spark, found).withColumns(at)
     ranked = stage(ranking.rank_candidates(metrics, options.profile), "ranked")

@@ -22,9 +22,11 @@ QUICK = {
 def test_run(spark, tmp_path):
     options = household.Options(model_settings=QUICK, tune=False, feature_set="leak_free")
     out = str(tmp_path / "out")
-    written = household.run(spark, raw_file(spark, SF_DIR), out, "exp1", options)
+    raw = raw_file(spark, SF_DIR)
     left = os.path.join(shared.shared_dir(spark).removeprefix("file://"), "loadlens", spark.sparkContext.applicationId)
-    assert not [name for name in os.listdir(left) if name.startswith("run-")]
+    before = set(os.listdir(left))
+    written = household.run(spark, raw, out, "exp1", options)
+    assert set(os.listdir(left)) == before  # also nothing of what threads have staged
     assert {"energy", "features", "predictions", "candidates", "experiments", "performance", "statistics"} <= set(written)
     hourly = tables.load_aggregate(spark, written["energy"], "hourly")
     assert hourly.count() > 0 and "Carbon_Emission_kgCO2" in hourly.columns
@@ -58,6 +60,23 @@ def test_run(spark, tmp_path):
     assert tests.count() == 4 and tests.where(F.col("p_value") == "N/A").count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not there")
+def test_tuning_takes_its_options(spark, tmp_path, monkeypatch):
+    seen = []
+    given = models.tune
+    monkeypatch.setattr(models, "tune", lambda *a, **b: seen.append((a, b)) or given(*a, **b))
+    options = household.Options(
+        model_settings={"decision_tree": {"max_depth": 2, "seed": 1}}, feature_set="leak_free", validation_ratio=0.25, tuning_metric="mae",
+        search_spaces={"decision_tree": {"max_depth": [1, 2, 3]}}, search_strategy="random_search", search_combinations=2, search_seed=5,
+    )
+    written = household.run(spark, raw_file(spark, SF_DIR), str(tmp_path / "out"), "exp2", options)
+    assert spark.read.parquet(written["candidates"]).where("NOT failed").count() == 4
+    for (data, _, folds), kept in seen:
+        assert kept["metric"] == "mae" and (kept["strategy"], kept["combinations"], kept["seed"]) == ("random_search", 2, 5)
+        (fold,) = folds
+        assert fold.validation == (fold.train[1], data.train_rows) and fold.train[1] == data.train_rows * 3 // 4
+
+
 def test_bad_file_is_refused(spark, tmp_path):
     path = tmp_path / "bad.txt"
     path.write_text("Date;Time;Global_active_power;Global_reactive_power;Voltage;Global_intensity;"
