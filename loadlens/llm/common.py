@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,24 +21,31 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def as_bytes(column: pa.Array) -> list[bytes | None]:
-    """The UTF-8 bytes of a string column, without decoding it."""
-    return column.cast(pa.binary()).to_pylist()
+#: bits of a table of marks, as a power of two: at most 16 MB, however many keys are marked
+MARK_BITS = 27
 
 
-def map_batches(
-    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
-) -> DataFrame:
-    """Apply ``work`` to every Arrow batch; what it returns may have another length."""
+@dataclass(frozen=True)
+class Marks:
+    """A bit for every key of a table, by the leading bits of the key: no key is missed, a few others hit."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = work(batch)
-            if done is not None:
-                yield done
+    slots: np.ndarray
+    bits: np.ndarray
 
-    return df.mapInArrow(run, schema)
+    def table(self) -> np.ndarray:
+        out = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+        out[self.slots] = self.bits
+        return out
 
+    @staticmethod
+    def hit(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+        bit = (keys.view(np.uint64) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+        return ((table[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
-def lines_of(sql: str) -> str:
-    return "\n".join(line.rstrip() for line in sql.strip().splitlines())
+
+def marks_of(df: DataFrame, key: str) -> Marks:
+    """Marks of the keys (64-bit hashes) in a column; at most 2 ** (MARK_BITS - 6) rows reach the driver."""
+    bit = F.shiftrightunsigned(key, 64 - MARK_BITS)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    found = df.groupBy(F.shiftright(bit, 6).alias("slot")).agg(F.bit_or(one).alias("bits")).toArrow()
+    return Marks(found["slot"].to_numpy().astype(np.int64), found["bits"].to_numpy().view(np.uint64))

@@ -8,12 +8,12 @@ with at most two empty ranges shares a range that is not empty, so only sets wit
 ranges have keys for those. k is that of the larger size, rounded up to a level; a set has the
 keys of all levels that a partner can have.
 
-Sets with a key in common have the least of them as their hub. Every member is compared with
-its hub: a linked one is *core*, the others are *near* where they could be linked with a core one
-(their distance from the hub is at most twice the wanted one) and *far* where they can't; two
-core ones are in one component anyway. The other pairs are compared in tiles: members of a hub
-are parted by size band (sets of linked pairs are in the same or neighbouring bands) and, where
-there are many, into blocks; a tile holds two blocks.
+Sets with a key in common have the least of them as their hub. What hangs together by hubs is
+a tile where it fits one; otherwise a hub and its members are. Where these are too many, every member is compared with the hub first: a linked one is
+*core*, the others are *near* where they could be linked with a core one (their distance from the
+hub is at most twice the wanted one) and *far* where they can't; two core ones are in one
+component anyway. The other pairs are compared in tiles: members are parted by size band (sets
+of linked pairs are in the same or neighbouring bands) and into blocks; a tile holds two blocks.
 
 In a tile every set has a bitmap of hashed elements. Bits in which two bitmaps differ count
 elements that the sets do not share, which bounds their overlap from above; only pairs that
@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadlens.llm.common import Marks, marks_of
 from loadlens.llm.components import connected
 from loadlens.llm.neardup import set_name, shingle_set
 from loadlens.llm.words import mix64
@@ -111,7 +112,10 @@ def fingerprints(documents: DataFrame, size: int, percent: int, key: str, text:
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """``cls`` and its ``elements`` of the classes in ``wanted`` (``cls``, ``doc_id``)."""
+    """``cls`` and its ``elements`` of the documents in ``wanted`` (``doc_id``).
+
+    An id with several texts or rows has several sets; the joins with ``cls`` sort that out.
+    """
     ids = stage(wanted.select(F.col("doc_id").alias("__id")).distinct(), "wanted-documents")
     texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).join(
         ids, F.col("doc_id") == F.col("__id"), "left_semi"
@@ -130,9 +134,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, size: int, key: str, text: st
                     ["cls", "elements"],
                 )
 
-    found = texts.select("text").mapInArrow(run, "cls long, elements array<long>")
-    # an id may have several texts: those of other classes go
-    return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    return stage(texts.select("text").mapInArrow(run, "cls long, elements array<long>"), "sets")
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -164,7 +166,7 @@ def _alike(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, pe
     return 100 * inter >= percent * (a + b - inter)
 
 
-def tile_links(sets: list[np.ndarray], first: np.ndarray, percent: int, core: np.ndarray | None = None) -> list[tuple[int, int]]:
+def tile_links(sets: list[np.ndarray], first: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets of two blocks, or within one.
 
     ``first`` marks those of the first block; where all are, the block is compared with itself.
@@ -186,7 +188,8 @@ def tile_links(sets: list[np.ndarray], first: np.ndarray, percent: int, core: np
     for begin in range(0, len(left), step):
         rows = left[begin : begin + step]
         bound = most_shared(maps[rows][:, None], maps[right][None], sizes[rows][:, None], sizes[right][None])
-        possible = _alike(bound, sizes[rows][:, None], sizes[right][None], percent)
+        least, most = np.minimum(sizes[rows][:, None], sizes[right][None]), np.maximum(sizes[rows][:, None], sizes[right][None])
+        possible = (100 * least >= percent * most) & _alike(bound, least, most, percent)
         if right is left:
             possible &= right[None] > rows[:, None]
         for i, own in zip(rows.tolist(), possible, strict=True):
@@ -229,19 +232,15 @@ _TILES = """flatten(transform(
         named_struct('low', u.b * 3 + u.s, 'i', j, 'high', band * 3 + side, 'j', own)))))"""
 
 
-def links(documents: DataFrame, classes: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """Edges (``a``, ``b``) between classes whose components are those of all links.
+_TILE = ("hub", "low", "i", "high", "j")
 
-    ``classes`` has ``cls``, its smallest ``doc_id`` and its ``keys``.
-    """
-    keyed = classes.select("cls", F.explode("keys").alias("key"))
-    common = keyed.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub < last").select("key", "hub")
-    members = stage(keyed.join(common.hint("merge"), "key").select("hub", "cls").distinct(), "hub-members")
-    wanted = stage(members.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls"), "hub-classes")
-    sets = stage(_sets(documents, wanted, size, key, text), "sets")
-    hub_sets = sets.select(F.col("cls").alias("hub"), F.col("elements").alias("hub_elements"))
-    apart = members.where("cls <> hub").join(sets, "cls").join(hub_sets.hint("merge"), "hub")
-    compared = stage(_with_hub(apart, percent), "hub-sides")
+
+def _large_tiles(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links with hubs, and rows of tiles for the rest, of hubs with more members than a tile takes."""
+    hubs = members.select("hub").distinct()
+    hub_sets = hubs.join(sets.select(F.col("cls").alias("hub"), F.col("elements").alias("hub_elements")), "hub")
+    apart = members.where("cls <> hub").select("hub", "cls").join(sets, "cls").join(hub_sets, "hub")
+    compared = stage(_with_hub(apart, percent).distinct(), "hub-sides")
     by_hub = compared.where("side = 0").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
     # neighbouring bands differ by a little more than linked sizes can
     banded = compared.withColumn("band", F.floor(F.log("n") / float(-np.log(percent / 100) * 1.0001)).cast("int"))
@@ -264,11 +263,75 @@ def links(documents: DataFrame, classes: DataFrame, size: int, percent: int, key
         .select("hub", "cls", "t.low", "t.i", "t.high", "t.j", F.expr("unit = t.low AND own = t.i").alias("first"))
         .distinct()
     )
-    tile = ["hub", "low", "i", "high", "j"]
     # a tile of one block needs two sets, one of two blocks a set of each
-    full = dealt.groupBy(*tile).agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("same"), F.max("first").alias("one"))
-    full = full.where("n > 1 AND one AND (NOT same OR (low = high AND i = j))").select(*tile)
-    rows = dealt.join(full, tile).join(sets, "cls")
+    full = dealt.groupBy(*_TILE).agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("same"), F.max("first").alias("one"))
+    full = full.where("n > 1 AND one AND (NOT same OR (low = high AND i = j))").select(*_TILE)
+    return by_hub, dealt.join(full, list(_TILE))
+
+
+def _too_large(members: DataFrame, by: str) -> DataFrame:
+    """The groups that do not fit a tile."""
+    totals = members.groupBy(by).agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"))
+    return stage(totals.where(f"sets > {BLOCK_SETS} OR (size > {BLOCK_ELEMENTS} AND sets > 2)").select(by), "large-groups")
+
+
+def _only(sets: DataFrame, marks: Marks) -> DataFrame:
+    """The sets whose number is marked; the others need not be moved."""
+    sent = sets.sparkSession.sparkContext.broadcast((marks.slots, marks.bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Marks(*sent.value).table()
+        for batch in batches:
+            yield batch.filter(pa.array(Marks.hit(batch.column(0).to_numpy(), table)))
+
+    return sets.mapInArrow(run, "cls long, elements array<long>")
+
+
+def _marked(classes: DataFrame, marks: Marks) -> DataFrame:
+    """``cls``, ``n`` and ``key`` of the keys that are marked; the others, most of all, go nowhere."""
+    sent = classes.sparkSession.sparkContext.broadcast((marks.slots, marks.bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Marks(*sent.value).table()
+        for batch in batches:
+            keys = batch.column(2).flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), [len(x) for x in batch.column(2)])
+            kept = Marks.hit(keys, table)
+            own = batch.select(["cls", "n"]).take(pa.array(owner[kept], pa.int64()))
+            yield own.append_column("key", pa.array(keys[kept]))
+
+    return classes.select("cls", "n", "keys").mapInArrow(run, "cls long, n long, key long")
+
+
+def links(documents: DataFrame, classes: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """Edges (``a``, ``b``) between classes whose components are those of all links.
+
+    ``classes`` has ``cls``, its smallest ``doc_id``, its number ``n`` of elements and its ``keys``.
+    """
+    keyed = classes.select("cls", F.explode("keys").alias("key"))
+    common = stage(
+        keyed.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub < last").select("key", "hub"),
+        "shared-keys",
+    )
+    # joins go by exchange at every size: how much they join grows with the input
+    members = stage(
+        _marked(classes, marks_of(common, "key")).join(common.hint("merge"), "key").select("hub", "cls", "n").distinct(), "hub-members"
+    )
+    wanted = members.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls")
+    sets = _sets(documents, wanted, size, key, text)
+    # what hangs together by keys is a tile where it fits one; else each hub with its members; else blocks of them
+    roots = connected(members.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")))
+    placed = stage(members.join(roots, F.col("cls") == F.col("node")).select("root", "hub", "cls", "n"), "hub-members")
+    wide = _too_large(placed.select("root", "cls", "n").distinct(), "root")
+    rest = placed.join(wide, "root", "left_semi")
+    large = _too_large(rest, "hub")
+    whole = placed.join(wide, "root", "left_anti").select(F.col("root").alias("hub"), "cls").distinct()
+    small = whole.unionByName(rest.join(large, "hub", "left_anti").select("hub", "cls")).select(
+        "hub", "cls", *[F.lit(0).alias(c) for c in _TILE[1:]], F.lit(True).alias("first")
+    )
+    cut = stage(rest.join(large, "hub", "left_semi").select("hub", "cls"), "large-members")
+    by_hub, tiles = _large_tiles(cut, _only(sets, marks_of(cut, "cls")), percent)
+    rows = small.unionByName(tiles).hint("merge").join(sets, "cls")
 
     def compare(table: pa.Table) -> pa.Table:
         numbers = table["cls"].to_numpy()
@@ -277,7 +340,7 @@ def links(documents: DataFrame, classes: DataFrame, size: int, percent: int, key
         pairs = np.array(tile_links(own, first, percent), np.int64).reshape(-1, 2)
         return pa.table({"a": numbers[pairs[:, 0]], "b": numbers[pairs[:, 1]]})
 
-    rest = rows.select(*tile, "cls", "first", "elements").groupBy(*tile).applyInArrow(compare, "a long, b long")
+    rest = rows.select(*_TILE, "cls", "first", "elements").groupBy(*_TILE).applyInArrow(compare, "a long, b long")
     return by_hub.unionByName(rest)
 
 
@@ -290,7 +353,7 @@ def jaccard_components(
     prints = stage(fingerprints(documents, size, percent, key, text), "ngram-sets")
     classes = stage(
         prints.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(
-            F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys")
+            F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("keys").alias("keys")
         ),
         "ngram-classes",
     )
