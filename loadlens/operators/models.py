@@ -56,6 +56,8 @@ SEARCH_SEED = 42
 FORECAST_FOREST = {"num_trees": 20, "max_depth": 10, "seed": 42}
 
 FEATURES, LABEL = "features", "label"
+#: rows that a fit reads in one task
+ROWS_A_TASK = 50_000
 
 
 # parameters whose Spark name is not their own in camel case
@@ -145,6 +147,10 @@ class TaskData:
         """Training rows of a table without series."""
         return prep.train_rows(self.rows.total, self.test_ratio)
 
+    def compact(self, part: DataFrame) -> DataFrame:
+        """``part`` of the rows in no more tasks than its size asks for: tree fits are many short jobs."""
+        return part.coalesce(-(-self.rows.total // ROWS_A_TASK))
+
     @property
     def train(self) -> DataFrame:
         return self.rows.df.where(prep.in_training(self.test_ratio))
@@ -347,7 +353,7 @@ def _tune_by_fits(
         widest, numbers, fold = work
         train, validation = frames[fold]
         try:
-            model = estimator(name, settings, **widest).fit(train)
+            model = estimator(name, settings, **widest).fit(data.compact(train))
             if name in NESTED:
                 wanted = [(grid[k].get(of_trees), grid[k].get(of_depth)) for k in numbers]
                 found = [e[metric] for e in trees.prefix_errors(validation, trees.read_trees(session, model), wanted)]
@@ -431,7 +437,7 @@ def train_candidates(
                 tuned = tune(data, name, folds, space=space, settings=all_settings[name], **(search or {})) if space else []
                 candidate.parameters = tuned[0].parameters if tuned else {}
             started = time.perf_counter()
-            candidate.model = estimator(name, all_settings[name], **candidate.parameters).fit(data.train)
+            candidate.model = estimator(name, all_settings[name], **candidate.parameters).fit(data.compact(data.train))
             candidate.training_time = time.perf_counter() - started
             path = shared_path(spark, "predictions")
             started = time.perf_counter()

@@ -61,7 +61,7 @@ def ml_linreg_coef(spark, sf_dir):
 def _predicted(spark, sf_dir, name):
     """Predictions of one model for the test rows of every task."""
     made = [
-        ml.score(ml.estimator(name).fit(data.train), data.test, data.task.name, name, "obs_ts")
+        ml.score(ml.estimator(name).fit(data.compact(data.train)), data.test, data.task.name, name, "obs_ts")
         for data in task_data(spark, sf_dir)
     ]
     return reduce(DataFrame.unionByName, made)
