@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadlens.functions.formatting import NOT_AVAILABLE, number_text, selected_mark, yes_no
+from loadlens.functions.formatting import NOT_AVAILABLE, number_text, scientific_text, selected_mark, yes_no
 from loadlens.operators.ordered import order_rows, series_position
 from loadlens.operators.ranking import METRICS
 from loadlens.sources.shared import stage
@@ -352,7 +352,7 @@ def statistics_table(comparisons: DataFrame) -> DataFrame:
         "candidate_model",
         "test_name",
         number_text(F.col("statistic")).alias("statistic"),
-        F.coalesce(F.format_string("%.4e", "p_value"), F.lit(NOT_AVAILABLE)).alias("p_value"),
+        scientific_text(F.col("p_value")).alias("p_value"),
         number_text(F.col("alpha")).alias("alpha"),
         yes_no(F.col("is_significant")).alias("significant"),
         "correction_method",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadlens.functions import stats
-from loadlens.functions.formatting import number_text
+from loadlens.functions.formatting import number_text, scientific_text
 from loadlens.operators import chartdata as ch
 from loadlens.operators import evaluate as ev
 
@@ -197,3 +197,10 @@ def test_display_sample_matches_linspace(spark, n):
 def test_number_text(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (2.71828,)], "x double")
     assert [r[0] for r in df.select(number_text(F.col("x"))).collect()] == ["1.0000", "N/A", "N/A", "2.7183"]
+
+
+def test_scientific_text_of_the_smallest_numbers(spark):
+    given = [49 * 5e-324, 10057 * 5e-324, 1.0, 0.0, float("nan"), None]
+    df = spark.createDataFrame([(x,) for x in given], "x double").coalesce(1)
+    found = [r[0] for r in df.select(scientific_text(F.col("x"))).collect()]
+    assert found == ["2.4209e-322", "4.9688e-320", "1.0000e+00", "0.0000e+00", "N/A", "N/A"]
