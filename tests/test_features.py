@@ -113,3 +113,13 @@ def test_windowed_energy_works_on_a_stream(spark, tmp_path):
     )
     query.awaitTermination(120)
     assert spark.read.parquet(sink).count() == 2  # the last window is still open
+
+
+def test_day_lag_holds_no_day_in_a_task(spark):
+    given = [("a", i, float(i)) for i in range(40)] + [("b", i, None if i == 3 else -float(i)) for i in range(30)] + [(None, 0, 7.0)]
+    df = spark.createDataFrame(given, f"meter string, id long, {P} double")
+    got = features.add_day_lag(order_rows(df, ["id"], ["meter"]), P, 25).df
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {(r["meter"], r["id"]): r[f"{P}_Lag_25"] for r in got.collect()}
+    values = {(m, i): v for m, i, v in given}
+    assert found == {(m, i): values.get((m, i - 25)) for m, i, _ in given}

@@ -181,3 +181,11 @@ def test_forecast_of_several_meters(spark):
     rows = got.collect()
     assert len(rows) == 200 and {r["meter"] for r in rows} == {0, 1}
     assert max(abs(r["Actual"] - r["Predicted"]) for r in rows) < 12  # the meters are 50 apart
+
+
+def test_fits_read_a_bounded_number_of_rows_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(ml, "MOST_ROWS_A_TASK", 1000)
+    rows = spark.range(6000).select(F.col("id").alias(RN)).coalesce(1)
+    made = [[r[RN] for r in part] for part in ml.fitting(rows, 6000).rdd.glom().collect()]
+    assert max(map(len, made)) < 1500 and sum(map(len, made)) == 6000
+    assert all(part == sorted(part) for part in made)
