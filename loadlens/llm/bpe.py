@@ -8,6 +8,9 @@ while the bytes from there on are the beginning of some vocabulary entry, so wha
 the encodings at all such positions have in common is final and is emitted: the
 lookahead is at most the longest entry.
 
+Nearly all pieces are short and rare ones seldom share a state. They are encoded by the
+same relation of tokens that fit beside each other, but token by token: no states are made.
+
 Decoding is a stream of token bytes through an incremental UTF-8 state machine that
 keeps at most three bytes.
 
@@ -33,9 +36,10 @@ Ranks = dict[bytes, int]
 
 #: a worker's tables; with the vocabulary they take about 250 MB when full
 MAX_STATES = 40_000
-MAX_CACHED_PIECES = 150_000
-SHORT_PIECE = 256  # bytes that may wait for the end of a piece; longer ones move from state to state
+MAX_CACHED_PIECES = 250_000
+SHORT_PIECE = 256  # bytes that are encoded as a whole; longer pieces move from state to state
 BLOCK_PIECES = 65_536
+LOOK = 4  # bytes that tell how long a token may be
 
 
 def read_ranks(data: bytes) -> Ranks:
@@ -75,7 +79,6 @@ class State:
     live: tuple[tuple[int, dict], ...]
     flush: tuple[int, ...] = ()
     moves: dict[int, tuple[State, tuple[int, ...]]] = field(default_factory=dict)
-    missed: bool = False
 
 
 _BYTES = [bytes((b,)) for b in range(256)]
@@ -92,6 +95,10 @@ class MergeTransducer:
             for byte in token:
                 node = node.setdefault(byte, {})
             node[_RANK] = rank
+        self.longest: dict[bytes, int] = {}  # bytes of the longest token that begins with these, where that is longer
+        for token in ranks:
+            if len(token) >= LOOK and len(token) > self.longest.get(token[:LOOK], 0):
+                self.longest[token[:LOOK]] = len(token)
         self.max_states = max_states
         self._fits: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int]] = {}
@@ -124,7 +131,7 @@ class MergeTransducer:
         known = self._fits.get(left << 24 | right)
         if known is not None:
             return known
-        if len(self._fits) > 4 * self.max_states:
+        if len(self._fits) > 8 * self.max_states:
             self._fits.clear()
         if left < 0:
             whole = self.bytes_of[right]
@@ -211,50 +218,46 @@ class MergeTransducer:
     def rest(self, state: State, tail: bytes) -> list[int]:
         """The tokens after ``state`` of a piece that ends with ``tail``, storing nothing.
 
-        The same recursion as ``move``, kept until the end of the tail.
+        The encoding is the only chain of tokens that all fit beside each other: the longest
+        token that fits goes on, and where none does, the one before it is made shorter.
         """
-        last, back, live, known = list(state.last), list(state.back), state.live, self._fits
-        for byte in tail:
-            token, begin, following = None, 0, []
-            for at, node in live:
-                node = node.get(byte)
-                if node is None:
-                    continue
-                if token is None and _RANK in node:
-                    rank = node[_RANK]
-                    fits = known.get(last[at] << 24 | rank)
-                    if self.fits(last[at], rank) if fits is None else fits:
-                        token, begin = rank, at
-                if len(node) > (_RANK in node):
-                    following.append((at, node))
-            if token is None:
-                raise ValueError(f"byte {byte} is not in the vocabulary")
-            following.append((len(last), self.trie))
-            last.append(token)
-            back.append(begin)
-            live = following
-        tokens, at = [], len(last) - 1
-        while at:
-            tokens.append(last[at])
-            at = back[at]
-        tokens.reverse()
+        data, first = state.pending + tail, state.last[0]
+        ranks, known, longest, size = self.ranks, self._fits, self.longest, len(data)
+        tokens: list[int] = []
+        begins: list[int] = []
+        dead: set[int] = set()  # a prefix has one encoding, so that no other way leads on from its end
+        at, last, end = 0, first, longest.get(data[:LOOK], LOOK - 1)
+        while at < size:
+            if end > size:
+                end = size
+            while end > at:
+                rank = ranks.get(data[at:end])
+                if rank is not None and end not in dead:
+                    fits = known.get(last << 24 | rank)
+                    if self.fits(last, rank) if fits is None else fits:
+                        break
+                end -= 1
+            else:
+                if not tokens:
+                    raise ValueError(f"no tokens for {data!r}: a byte is not in the vocabulary")
+                dead.add(at)
+                end, at = at - 1, begins.pop()
+                tokens.pop()
+                last = tokens[-1] if tokens else first
+                continue
+            tokens.append(rank)
+            begins.append(at)
+            at, last = end, rank
+            end += longest.get(data[end : end + LOOK], LOOK - 1)
         return tokens
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        """Tokens of a piece. A state that has no move for a byte for the second time gets it."""
-        state, out, short = self.start, [], len(piece) <= SHORT_PIECE
-        for at, byte in enumerate(piece):
-            found = state.moves.get(byte)
-            if found is None:
-                if short and not state.missed:
-                    state.missed = True
-                    return (*out, *self.rest(state, piece[at:]))
-                state, emitted = self.move(state, byte)
-                out += emitted
-                if short:
-                    return (*out, *self.rest(state, piece[at + 1 :]))
-                continue
-            state, emitted = found
+        """Tokens of a piece: short ones token by token, long ones byte by byte through the states."""
+        if len(piece) <= SHORT_PIECE:
+            return tuple(self.rest(self.start, piece))
+        state, out = self.start, []
+        for byte in piece:
+            state, emitted = state.moves.get(byte) or self.move(state, byte)
             if emitted:
                 out += emitted
         return (*out, *state.flush)
@@ -286,16 +289,20 @@ class Utf8Machine:
 
 
 class PieceCache(dict):
-    """The ids of pieces seen before; it is emptied when full."""
+    """The ids of pieces seen before. When half full they become the older ones, of which those met again stay."""
 
     def __init__(self, transducer: MergeTransducer, limit: int):
         super().__init__()
         self.transducer, self.limit = transducer, limit
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.transducer.encode(piece.encode())
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode())
         if len(piece) <= 64:
-            if len(self) >= self.limit:
+            if 2 * len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

@@ -64,3 +64,28 @@ def test_awkward_rows(spark, docs):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode_documents(docs(AWKWARD).where("false"), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_short_pieces_make_no_states():
+    machine = bpe.MergeTransducer(RANKS)
+    pieces = [" andrentshble", "thethethe", "x" * bpe.SHORT_PIECE, "中文字", "aAbB1"]
+    for piece in pieces:
+        assert list(machine.encode(piece.encode())) == THEIRS.encode_ordinary(piece)
+    assert len(machine.states) == 1 and not machine.start.moves
+    long = b"internationalisation" * 50
+    state, out = machine.start, []
+    for byte in long:
+        state, emitted = machine.move(state, byte)
+        out += emitted
+    assert [*out, *state.flush] == list(machine.encode(long)) == machine.rest(machine.start, long)
+
+
+def test_pieces_met_again_stay_when_the_cache_is_full():
+    small, encoded = bpe.Tokenizer(RANKS, public_tokenizers.PATTERN, cached=20), []
+    given = small.transducer.encode
+    small.transducer.encode = lambda piece: encoded.append(piece) or given(piece)
+    for i in range(100):
+        small.encode(f" often{chr(97 + i % 26)}{chr(97 + i // 26)}")
+        small.encode(" often")
+        assert len(small.pieces) <= 10 and len(small.pieces.older) <= 10
+    assert encoded.count(b" often") == 1
