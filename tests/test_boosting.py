@@ -59,3 +59,56 @@ def test_other_parameters_are_left_to_spark():
     assert boosting.known({"max_iter": 50, "max_depth": 5, "subsample_rate": 1.0, "seed": 1})
     for other in ({"subsample_rate": 0.5}, {"max_iter": 0}, {"max_depth": 30}, {"loss_type": "absolute"}, {"max_bins": 1000}):
         assert not boosting.known(other)
+
+
+def test_the_last_fit_is_a_model_of_spark_in_few_jobs(spark):
+    rows, _ = rows_of(spark, 400, 2)
+    timed = rows.select(*NAMES, "label", F.timestamp_seconds(RN).alias("Timestamp"))
+    data = models.prepare_task(order_rows(timed, ["Timestamp"]), prep.Task("t", "label", tuple(NAMES)))
+    given = {"max_iter": 12, "max_depth": 3, "step_size": 0.1, "seed": 42}
+    number = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    start = number()
+    (got,) = models.fit_models([data], "gradient_boosted_tree", given)
+    between = number()
+    want = models.estimator("gradient_boosted_tree", given).fit(data.compact(data.train))
+    # a job for a level of a round and some for what is stored, but none for caches and checkpoints
+    assert between - start <= 12 * 3 + 40
+    assert (got.getNumTrees, got.treeWeights, got.getOrDefault("maxIter")) == (12, want.treeWeights, 12)
+    assert got.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), rel=1e-9)
+    scored = [m.transform(data.train).orderBy(RN).toPandas()["prediction"].to_numpy() for m in (got, want)]
+    assert scored[0] == pytest.approx(scored[1], rel=1e-9)
+
+
+def test_rows_meet_in_blocks_whatever_their_batches(spark):
+    rows, _ = rows_of(spark, 900, 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        made = boosting._blocks(rows.coalesce(1), 0, [np.array([0.0])] * 4, 1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["n"] for r in made] == [900]
+
+
+def test_rows_go_down_alike_in_shallow_and_deep_trees(monkeypatch):
+    r = np.random.default_rng(3)
+    bins = r.integers(0, 32, (5, 1000)).astype(np.uint8)
+    feature, cut = r.integers(-1, 5, 128).astype(np.int32), r.integers(0, 31, 128).astype(np.int32)
+    shallow = boosting._descend(bins, feature, cut, 6)
+    monkeypatch.setattr(boosting, "SHALLOW", 0)
+    assert (shallow == boosting._descend(bins, feature, cut, 6)).all() and len(np.unique(shallow)) > 5
+
+
+def test_boosted_models_of_all_tasks_grow_together(spark, monkeypatch):
+    calls, given = [], boosting.grow
+    monkeypatch.setattr(boosting, "grow", lambda frames, sets: calls.append(len(frames)) or given(frames, sets))
+    rows, _ = rows_of(spark, 300, 2)
+    ordered = order_rows(rows.select(*NAMES, "label", F.timestamp_seconds(RN).alias("Timestamp")), ["Timestamp"])
+    tasks = [models.prepare_task(ordered, prep.Task(n, "label", f)) for n, f in (("t", tuple(NAMES)), ("u", ("a", "b")))]
+    settings = {"linear_regression": {}, "gradient_boosted_tree": {"max_iter": 3, "max_depth": 2, "seed": 1}}
+    spaces = {"gradient_boosted_tree": {"max_depth": [1, 2]}}
+    found = models.train_all(tasks, lambda d: prep.expanding_folds(d.train_rows), settings=settings, spaces=spaces)
+    assert [(c.task, c.model_name, c.error) for c in found] == [(t, m, None) for t in "tu" for m in settings]
+    assert calls == [4, 2]  # two folds of two tasks, then the two tasks
+    for data, c in zip(tasks, found[1::2], strict=True):
+        want = models.estimator("gradient_boosted_tree", settings["gradient_boosted_tree"], **c.parameters).fit(data.train)
+        assert c.model.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), rel=1e-9)
