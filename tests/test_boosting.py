@@ -112,3 +112,23 @@ def test_boosted_models_of_all_tasks_grow_together(spark, monkeypatch):
     for data, c in zip(tasks, found[1::2], strict=True):
         want = models.estimator("gradient_boosted_tree", settings["gradient_boosted_tree"], **c.parameters).fit(data.train)
         assert c.model.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), rel=1e-9)
+
+
+def test_staged_blocks_are_read_whole_by_few_tasks(spark, monkeypatch, tmp_path):
+    import pyarrow as pa
+
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(boosting, "shared_path", lambda session, label: f"{tmp_path}/odd name %/{label}")
+    rows, x = rows_of(spark, 900, 2)
+    staged = boosting._Staged.write(boosting._blocks(rows.repartition(20), 0, [np.array([0.0])] * 4, 1))
+    assert len(staged.files) == 20
+
+    def count(batches):
+        found = [(n, len(label)) for part, bins, label, score in (r for b in batches for r in boosting._read(b, {0: [0]})) for n in [bins.sum()]]
+        yield pa.RecordBatch.from_pydict({"above": [int(sum(n for n, _ in found))], "n": [sum(n for _, n in found)]})
+
+    made = staged.map(count, "above long, n long").collect()
+    assert len(made) <= spark.sparkContext.defaultParallelism
+    assert (sum(r["n"] for r in made), sum(r["above"] for r in made)) == (900, int((x > 0).sum()))
+    staged.delete()
+    assert not list(tmp_path.rglob("*.parquet"))
