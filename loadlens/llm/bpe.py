@@ -32,9 +32,11 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from loadlens.llm.common import worker_tables
+
 Ranks = dict[bytes, int]
 
-#: a worker's tables; with the vocabulary they take about 250 MB when full
+#: a worker's tables; with the vocabulary they take about 250 MB when full, and go when the worker counts or compares texts
 MAX_STATES = 40_000
 MAX_CACHED_PIECES = 250_000
 SHORT_PIECE = 256  # bytes that are encoded as a whole; longer pieces move from state to state
@@ -89,12 +91,7 @@ class MergeTransducer:
     def __init__(self, ranks: Ranks, max_states: int = MAX_STATES):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.trie: dict = {}
-        for token, rank in ranks.items():
-            node = self.trie
-            for byte in token:
-                node = node.setdefault(byte, {})
-            node[_RANK] = rank
+        self.trie: dict = {}  # filled when a piece first needs a state
         self.longest: dict[bytes, int] = {}  # bytes of the longest token that begins with these, where that is longer
         for token in ranks:
             if len(token) >= LOOK and len(token) > self.longest.get(token[:LOOK], 0):
@@ -104,6 +101,13 @@ class MergeTransducer:
         self._halves: dict[int, tuple[int, int]] = {}
         self._reset()
 
+    def _fill(self) -> None:
+        for token, rank in self.ranks.items():
+            node = self.trie
+            for byte in token:
+                node = node.setdefault(byte, {})
+            node[_RANK] = rank
+
     def _reset(self) -> None:
         self.start = State(b"", (-1,), (0,), ((0, self.trie),))
         self.states = {(-1, b""): self.start}
@@ -166,6 +170,8 @@ class MergeTransducer:
 
     def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """The state after ``byte`` and the tokens that are now final."""
+        if not self.trie:
+            self._fill()
         if len(self.states) > self.max_states:
             for old in self.states.values():
                 old.moves.clear()  # states refer to each other; without that they go at once
@@ -340,15 +346,12 @@ class Tokenizer:
         yield machine.end()
 
 
-_made: dict[tuple[str, str], Tokenizer] = {}
-
-
 def tokenizer_of(data: bytes, pattern: str) -> Tokenizer:
-    """One tokenizer for each vocabulary and Python worker; its tables serve all its tasks."""
+    """One tokenizer for each vocabulary and Python worker; its tables serve all its tasks in a row."""
     key = hashlib.sha256(data).hexdigest(), pattern
-    if key not in _made:
-        _made[key] = Tokenizer(read_ranks(data), pattern)
-    return _made[key]
+    if key not in worker_tables:
+        worker_tables[key] = Tokenizer(read_ranks(data), pattern)
+    return worker_tables[key]
 
 
 _BATCH_BYTES = 1 << 21  # of text whose ids are held at once; a longer text is a batch of its own

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,17 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+#: what a Python worker keeps from task to task, as long as it runs the same operator
+worker_tables: dict = {}
+
+
+def free_worker() -> None:
+    """For tasks that need none of the tables that other operators have left in their worker."""
+    if worker_tables:
+        worker_tables.clear()
+        gc.collect()  # states of a transducer refer to each other
+
+
 #: bits of a table of marks, as a power of two: at most 16 MB, however many keys are marked
 MARK_BITS = 27
 

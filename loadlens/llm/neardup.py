@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadlens.llm.common import free_worker
 from loadlens.llm.components import connected
 from loadlens.llm.words import mix64, span_hashes, window_hashes, word_spans
 from loadlens.sources.shared import stage
@@ -108,6 +109,7 @@ def fingerprints(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
@@ -141,6 +143,7 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, size: int, key: str, text:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 sets = [shingle_set(v.as_py() or b"", size) for v in whole.slice(start, 256).column(0)]

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadlens.llm.common import free_worker
 from loadlens.llm.words import among, span_hashes, window_hashes, word_spans
 from loadlens.sources.shared import stage
 
@@ -95,6 +96,7 @@ def statistics(documents: DataFrame, text: str = "text", keep: tuple[str, ...] =
     """The columns ``keep`` and the counts of every text; only texts go to Python, once."""
 
     def count(texts: pa.Array) -> pa.Array:
+        free_worker()
         counts = np.array([count_text(v.as_py() or b"") for v in texts], np.int64).reshape(-1, len(COUNTS))
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in counts.T], list(COUNTS))
 

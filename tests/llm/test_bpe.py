@@ -1,11 +1,12 @@
 import hashlib
+import weakref
 
 import public_tokenizers
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loadlens.llm import bpe
+from loadlens.llm import bpe, common
 from tests.llm.cases import AWKWARD
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -89,3 +90,23 @@ def test_pieces_met_again_stay_when_the_cache_is_full():
         small.encode(" often")
         assert len(small.pieces) <= 10 and len(small.pieces.older) <= 10
     assert encoded.count(b" often") == 1
+
+
+def test_the_trie_is_made_when_a_piece_needs_states():
+    machine = bpe.MergeTransducer(RANKS)
+    machine.encode(b"short")
+    assert not machine.trie
+    long = b"internationalisation" * 50
+    assert list(machine.encode(long)) == THEIRS.encode_ordinary(long.decode()) and machine.trie
+
+
+def test_other_work_frees_the_tables():
+    with open(PATH, "rb") as file:
+        data = file.read()
+    made = bpe.tokenizer_of(data, public_tokenizers.PATTERN)
+    assert bpe.tokenizer_of(data, public_tokenizers.PATTERN) is made
+    made.encode("internationalisation" * 50)
+    gone = weakref.ref(made.transducer)
+    del made
+    common.free_worker()
+    assert gone() is None and not common.worker_tables

@@ -111,3 +111,10 @@ def test_only_summaries_meet_in_one_task(spark):
         od.order_rows(readings(spark), ["ts", "id"]), lambda w: {"l": F.lag("x", 1).over(w)}, 1
     )
     assert "SinglePartition" not in framed.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_starts_of_the_sorted_parts_need_no_python_workers(spark):
+    rows = od.order_rows(spark.range(1000, numPartitions=4).select((-F.col("id")).alias("t")), ["t"])
+    plan = rows.df._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    assert [r[od.RN] for r in rows.df.orderBy("t").collect()] == list(range(1000))
