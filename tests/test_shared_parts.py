@@ -143,3 +143,12 @@ def test_thresholds_come_from_the_same_rows_with_and_without_a_sample(spark, mon
     without = boosting.cuts_of(data.train, 8)
     assert [c.tolist() for c in with_sample[0]] == [c.tolist() for c in without[0]]
     assert with_sample[1] == pytest.approx(without[1]) and with_sample[2] == without[2] == data.train.count()
+
+
+def test_rows_of_a_block_are_shuffled_and_stay_together(spark):
+    df = spark.range(500).select(F.col("id").alias(RN), F.col("id").cast("double").alias("label"), F.array(F.col("id").cast("double")).alias("x"))
+    frame = df.coalesce(1).select(RN, "label", array_to_vector("x").alias("features"))
+    (block,) = boosting._blocks(frame, 0, [np.arange(0.0, 500.0, 100.0)], 0).collect()
+    bins, label, row = np.frombuffer(block["bins"], np.uint8), np.frombuffer(block["label"]), np.frombuffer(block["row"], np.int64)
+    assert (np.diff(row) < 0).sum() > 100
+    assert sorted(row.tolist()) == list(range(500)) and (label == row).all() and (bins == np.ceil(row / 100)).all()
